@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup as op2
+from . import mixing as op5
 from . import substring_dedup as op10
 from .common import table
 
@@ -13,16 +15,34 @@ from .common import table
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = op2.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select("_row.doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = op5.mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_substring_dedup,)}
+    return {f.__name__: f for f in (op2_line_dedup, op5_mix_sources, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": r"""
+WITH l AS (SELECT doc_id, i, lines[i] AS line, translate(regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, unnest(range(1, len(lines) + 1)) AS i FROM documents)),
+hot AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.k IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN hot ON l.k = hot.k GROUP BY doc_id""",
         "op10_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents),
 starts AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS phrase
