@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import jaccard_join as op6
 from . import line_dedup as op2
 from . import mixing as op5
 from . import substring_dedup as op10
@@ -25,12 +26,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_mix_sources, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op5_mix_sources, op6_jaccard_components, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -43,6 +48,17 @@ hot AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT do
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.k IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN hot ON l.k = hot.k GROUP BY doc_id""",
+        "op6_jaccard_components": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS t
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id
+          JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reach.y) AS component_id
+FROM reach JOIN w ON w.doc_id = reach.x LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
         "op10_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents),
 starts AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS phrase
