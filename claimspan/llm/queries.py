@@ -10,6 +10,7 @@ from . import jaccard_join as op6
 from . import line_dedup as op2
 from . import mixing as op5
 from . import substring_dedup as op10
+from . import toxicity as op3
 from .common import table
 
 #: The words of a text, in DuckDB.
@@ -21,6 +22,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("_row.doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = op3.toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"), threshold=0.7)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = op5.mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,7 +41,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_mix_sources, op6_jaccard_components, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op5_mix_sources, op6_jaccard_components, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
