@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard_join as op6
+from . import language_id as op4
 from . import line_dedup as op2
 from . import mixing as op5
 from . import substring_dedup as op10
@@ -27,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.language_id(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = op5.mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,7 +46,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op5_mix_sources, op6_jaccard_components, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_jaccard_components, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
