@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 THRESHOLD = 0.7
-MAX_TOXIC = 20_000
-MAX_CLEAN = 60_000
+MAX_TOXIC = 10_000
+MAX_CLEAN = 30_000
 MAX_CANDIDATES = 50_000
 MAX_TERMS = 2_000
 MIN_DOCS = 4
@@ -146,10 +146,9 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(max(b, 0.0))
 
 
-def fit(train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -> dict:
-    """lexicon, a, b: from training documents (doc_id, text, toxic: 0 or 1)."""
-    rank = F.xxhash64("doc_id", "text")
-    sample = materialise(train.where("toxic = 1").orderBy(rank).limit(MAX_TOXIC).unionByName(train.where("toxic = 0").orderBy(rank).limit(MAX_CLEAN)).select("toxic", "text").repartition(F.xxhash64("text")), "toxic-train")
+def fit(docs: DataFrame, train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -> dict:
+    """lexicon, a, b: from the texts of docs and the ids and labels of train (doc_id, toxic: 0 or 1)."""
+    sample = materialise(sampled(docs, train, "toxic", MAX_CLEAN, MAX_TOXIC).select("toxic", "text"), "toxic-train")
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     lexicon = {fold(s): SEED_WEIGHT for s in seeds}
@@ -218,12 +217,19 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Training rows: documents that may be learned from, with their label."""
+    """doc_id and label of the documents that may be learned from; no text is moved for it."""
     own = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1)).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").where(~held_out()).join(own, "doc_id")
+    return docs.select("doc_id").where(~held_out()).distinct().join(own, "doc_id")
+
+
+def sampled(docs: DataFrame, train: DataFrame, label: str, most_0: int, most_1: int) -> DataFrame:
+    """doc_id, text and label of at most so many training documents of each label, by hash of doc_id. The bounded ids go to the texts."""
+    rank = F.xxhash64(F.lit(11), "doc_id")
+    ids = [train.where(F.col(label) == v).orderBy(rank, "doc_id").limit(most) for v, most in ((0, most_0), (1, most_1))]
+    return docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs, then held_out, score, n_hits and predicted."""
-    model = fit(labelled(docs, labels, "toxic"))
+    model = fit(docs, labelled(docs, labels, "toxic"))
     return score(docs.withColumn("held_out", held_out()), model, threshold)
