@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import jaccard_join as op6
 from . import language_id as op4
 from . import line_dedup as op2
+from . import media as op9
 from . import mixing as op5
+from . import quality as op8
 from . import substring_dedup as op10
 from . import toxicity as op3
 from .common import table
@@ -41,12 +43,20 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.5)
+
+
+def op9_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.audio_features(table(spark, sf_dir, "documents", "doc_id", "text"), outputs=False)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_jaccard_components, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_jaccard_components, op8_quality, op9_media_features, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,8 +53,8 @@ class Words:
 
     __slots__ = ("buf", "start", "end", "hash", "offset")
 
-    def __init__(self, buf: np.ndarray, bounds: np.ndarray, fold: np.ndarray = SAME, hashes: bool = True):
-        """bounds: byte offsets of the documents in buf, one more than documents."""
+    def __init__(self, buf: np.ndarray, bounds: np.ndarray, fold: np.ndarray = SAME, hashes: bool = True, counted: np.ndarray | None = None):
+        """bounds: byte offsets of the documents in buf, one more than documents. counted: the bytes that matter to a word's hash, if not all."""
         self.buf = buf
         solid = ~IS_WS[buf]
         cut = np.zeros(len(buf) + 1, bool)
@@ -68,9 +68,9 @@ class Words:
         self.start = np.flatnonzero(solid & before)
         self.end = np.flatnonzero(solid & after) + 1
         self.offset = np.searchsorted(self.start, bounds)
-        self.hash = self._hash(fold, solid) if hashes else None
+        self.hash = self._hash(fold, counted) if hashes else None
 
-    def _hash(self, fold: np.ndarray, solid: np.ndarray) -> np.ndarray:
+    def _hash(self, fold: np.ndarray, counted: np.ndarray | None) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, U64)
         table = _TABLE[fold]
@@ -79,8 +79,16 @@ class Words:
         gaps = np.diff(np.append(self.start, last))
         at = np.arange(first, last) - np.repeat(self.start, gaps)
         value = table[self.buf[first:]]
-        value *= powers(int(gaps.max()))[at]
-        return mix(np.add.reduceat(value, self.start - first) + (self.end - self.start).astype(U64))
+        if counted is None:
+            value *= powers(int(gaps.max()))[at]
+            return mix(np.add.reduceat(value, self.start - first) + (self.end - self.start).astype(U64))
+        # The place of a byte in its word is its place among the bytes that count.
+        real = counted[self.buf[first:]]
+        value[~real] = 0
+        rank = np.cumsum(real)
+        rank -= np.repeat(rank[self.start - first] - real[self.start - first], gaps)
+        value *= powers(int(rank.max()) + 1)[rank]
+        return mix(np.add.reduceat(value, self.start - first))
 
     def __len__(self) -> int:
         return len(self.offset) - 1
@@ -112,7 +120,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets.astype(np.int64)
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, fold: np.ndarray = SAME, hashes: bool = True, size: int = CHUNK) -> Iterator[tuple[int, Words]]:
+def chunks(column: pa.Array | pa.ChunkedArray, fold: np.ndarray = SAME, hashes: bool = True, size: int = CHUNK, solid: np.ndarray | None = None) -> Iterator[tuple[int, Words]]:
     """The column in runs of documents of about `size` bytes: the index of the first, and the words."""
     base = 0
     for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
@@ -122,6 +130,6 @@ def chunks(column: pa.Array | pa.ChunkedArray, fold: np.ndarray = SAME, hashes:
             while first < len(part):
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
                 bounds = offsets[first : last + 1]
-                yield base + first, Words(data[bounds[0] : bounds[-1]], bounds - bounds[0], fold, hashes)
+                yield base + first, Words(data[bounds[0] : bounds[-1]], bounds - bounds[0], fold, hashes, solid)
                 first = last
         base += len(part)
