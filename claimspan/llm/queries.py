@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import jaccard_join as op6
 from . import language_id as op4
@@ -14,6 +15,7 @@ from . import mixing as op5
 from . import quality as op8
 from . import substring_dedup as op10
 from . import toxicity as op3
+from . import warc as op7
 from .common import table
 
 #: The words of a text, in DuckDB.
@@ -43,6 +45,26 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, and what the audit says of a replica in which rot and loss are planted by the digest of the html:
+    of one record in 256 the last byte is another, and another one in 256 is gone."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    fate = F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 2)
+    fates = pages.select(F.col("page_id").cast("long").alias("_id"), fate.alias("_fate")).where(F.col("_fate").isin("00", "01")).distinct()
+    primary = op7.store(op7.records(pages), "primary")
+    rotten = F.concat(F.substring("record", F.lit(1), F.octet_length("record") - 1), F.lit("X").cast("binary"))
+    planted = primary.join(fates, primary["page_id"].eqNullSafe(fates["_id"]), "left").where(F.coalesce("_fate", F.lit("")) != "01")
+    replica = op7.store(planted.withColumn("record", F.when(F.col("_fate") == "00", rotten).otherwise(F.col("record"))).select(*primary.columns), "replica")
+    leaves, differences = op7.fixity(primary, replica)
+    own = primary.select("page_id", "segment", "seq", "offset", "length")
+    found = differences.select("segment", "seq", "status")
+    return (
+        own.join(leaves.select("segment", F.col("ix").alias("seq"), "record_sha256"), ["segment", "seq"])
+        .join(found, ["segment", "seq"], "left")
+        .select("page_id", "segment", "seq", "offset", "length", "record_sha256", F.coalesce("status", F.lit("ok")).alias("status"))
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.5)
 
@@ -56,7 +78,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_jaccard_components, op8_quality, op9_media_features, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_jaccard_components, op7_warc_fixity, op8_quality, op9_media_features, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -80,6 +102,17 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.t = b.t AND
 reach(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
 SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reach.y) AS component_id
 FROM reach JOIN w ON w.doc_id = reach.x LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+        "op7_warc_fixity": r"""
+WITH b AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+                  'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: '
+                  || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS block FROM pages),
+r AS (SELECT page_id, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+             || 'WARC-Record-ID: <urn:sha256:' || sha256(block) || '>' || chr(13) || chr(10) || 'Content-Type: application/http;msgtype=response' || chr(13) || chr(10)
+             || 'Content-Length: ' || octet_length(encode(block)) || chr(13) || chr(10) || chr(13) || chr(10) || block || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM b),
+l AS (SELECT page_id, html, record, page_id // 1024 AS segment, CAST(octet_length(encode(record)) AS BIGINT) AS length FROM r)
+SELECT page_id, segment, row_number() OVER o - 1 AS seq, CAST(sum(length) OVER o - length AS BIGINT) AS offset, length, sha256(record) AS record_sha256,
+       CASE substr(sha256(html), 1, 2) WHEN '00' THEN 'corrupt' WHEN '01' THEN 'missing' ELSE 'ok' END AS status
+FROM l WINDOW o AS (PARTITION BY segment ORDER BY page_id ROWS UNBOUNDED PRECEDING)""",
         "op10_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents),
 starts AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS phrase
