@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as op1
 from . import jaccard_join as op6
 from . import language_id as op4
 from . import line_dedup as op2
@@ -22,6 +23,10 @@ from .common import table
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = op2.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("_row.doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -78,7 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_jaccard_components, op7_warc_fixity, op8_quality, op9_media_features, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_jaccard_components, op7_warc_fixity, op8_quality, op9_media_features, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
