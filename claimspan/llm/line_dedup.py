@@ -106,7 +106,9 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     runs = LineRuns(docs.sparkSession, fanout, min_chars)
     for b in range(batches):
         runs.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-    return _result(_without(docs, [runs.counts().where(F.col("_n") >= min_docs)]))
+    # Written first, so that both sides of the anti-join are exchanges, whose hot partitions adaptive execution splits.
+    lost = materialise(runs.counts().where(F.col("_n") >= min_docs).select(*_KEY), "lines-lost")
+    return _result(_without(docs, [lost]))
 
 
 def admit(batch: DataFrame, runs: LineRuns) -> DataFrame:
