@@ -16,7 +16,7 @@ A chunk sends each distinct hash once, however many of its rows have it, so a ph
 part one entry a chunk. Phrases are compared by 64-bit hash.
 
 Defined cases: null or empty text has no words; fewer words than the window: nothing is removed; equal doc_ids (a
-repeated row) are one document id, so neither is smaller than the other; other columns are not read.
+repeated row) are one document id, so neither is smaller than the other; a null doc_id is larger than every other; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .common import blocks_of, text_bytes
 WINDOW = 13
 ANCHOR = 6
 CHUNK_BYTES = 8 << 20
+#: Stands for a null id: larger than every other.
+NO_ID = (1 << 63) - 1
 _REQUEST = "part int, chunk int, hashes binary, ids binary"
 _REPLY = "chunk int, part int, step int, bits binary"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
@@ -56,7 +58,7 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, window: int, anchor: int):
         self.table = table.sort_by("doc_id")
-        self.ids = self.table["doc_id"].to_numpy()
+        self.ids = self.table["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy()
         self.parts = []
         for base, w in W.chunks(self.table["text"].combine_chunks()):
             phrase, at = w.grams(window)
@@ -189,7 +191,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
                     for x, y in spans:
                         keep[x:y] = False
                     kept = b" ".join(raw[x:y] for x, y in zip(w.start[a:b][keep].tolist(), w.end[a:b][keep].tolist()))
-                    for key, value in zip(out, (int(c.ids[base + i]), b - a, int(b - a - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), [{"start": x, "end": y} for x, y in spans])):
+                    for key, value in zip(out, (None if c.ids[base + i] == NO_ID else int(c.ids[base + i]), b - a, int(b - a - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), [{"start": x, "end": y} for x, y in spans])):
                         out[key].append(value)
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))})
 

@@ -12,7 +12,7 @@ Fitted on at most MAX_TOXIC toxic and MAX_CLEAN other training documents (by has
 that sample. Every document is scored over its whole text.
 
 Defined cases: null or empty text has no hits and gets the score of none; without labels of both kinds the seeds and fixed curve decide;
-repeated rows score equally; other columns are not read.
+repeated rows score equally; other columns are not read, and those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -207,8 +207,10 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD, exceptions
             x = np.array([f[0] for f in found])
             yield pd.DataFrame({"score": 1 / (1 + np.exp(-(a + b * x))), "n_hits": [f[1] for f in found]})
 
-    out = docs.withColumn("_t", run(F.col("text").cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_t.score").alias("score"), F.col("_t.n_hits").alias("n_hits"), (F.col("_t.score") >= threshold).cast("int").alias("predicted"))
+    kept = [c for c in docs.columns if c not in ("score", "n_hits", "predicted")]
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], run(F.col("text").cast("string")).alias("__toxicity"))
+    found = F.col("__toxicity")
+    return out.select(*[F.col(f"`{c}`") for c in kept], found["score"].alias("score"), found["n_hits"].alias("n_hits"), (found["score"] >= threshold).cast("int").alias("predicted"))
 
 
 def held_out(column: str = "doc_id") -> Column:
