@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: The ASCII white space that the text contracts name: space, tab, LF, VT, FF, CR.
 ASCII_WS = " \t\n\x0b\x0c\r"
 
@@ -21,27 +24,45 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_homes: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _leave(spark: SparkSession, folder: str) -> None:
+    try:
+        _delete(spark, folder)
+    except Exception:  # noqa: BLE001  the session has ended already; a shared folder is cleared by its owner
+        pass
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage in a way that outlives any executor."""
+    """Write `df` as Parquet in the shared folder and read it back: cuts lineage in a way that outlives any executor.
+
+    The application's tables go when Python exits, if the session is still there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/claimspan/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/claimspan/{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_leave, spark, home)
+    path = f"{home}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once no later step reads it."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/claimspan/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, parent)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the data folder, with just the columns that the caller uses."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimspan.llm import decontaminate, jaccard_join, line_dedup, mixing, toxicity
 from claimspan.llm.common import materialise
+from claimspan.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -67,7 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
