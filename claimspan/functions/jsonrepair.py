@@ -21,7 +21,7 @@ def outermost_object(c: Column) -> Column:
 
 def sanitise(c: Column) -> Column:
     """Backslashes that begin no escape are doubled, then commas before a closing bracket go."""
-    return F.regexp_replace(F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\"), r",\s*([}\]])", "$1")
+    return F.regexp_replace(F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\"), r",\s*([}\]])", "$1")
 
 
 def insert_commas(c: Column) -> Column:
