@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_WS, materialise
+from .common import ASCII_WS, blocks_of, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -38,6 +38,7 @@ SHARD_SLOTS = 4096
 MAX_SHARDS = 1 << 16
 MAX_SOURCES = 100_000
 BUCKET_ROWS = 4096
+PART_SLOTS = 1 << 18
 SEED = 20_240_601
 
 
@@ -152,7 +153,9 @@ def mix_slots(spark, plan: list[dict], block: int, shard_slots: int, seed: int)
     """_shard, _sx, _epoch, _block, _limit: the block that each slot takes, and how many of its words."""
     counts = shard_counts([p["slots"] for p in plan], shard_slots, seed)
     about = spark.createDataFrame([(i, p["blocks"], p["slots"], p["last"], epoch_key(seed, p["source"], 0), epoch_key(seed, p["source"], 1)) for i, p in enumerate(plan) if p["slots"]], "_sx int, _blocks long, _slots long, _last long, _key0 long, _key1 long")
-    drawn = spark.createDataFrame(counts, "_shard int, _sx int, _n long, _first long").repartition(F.col("_shard"), F.col("_sx"))
+    drawn = spark.createDataFrame(counts, "_shard int, _sx int, _n long, _first long")
+    # A named number of partitions: the rows are few, the slots that they become are many.
+    drawn = drawn.repartition(blocks_of(sum(p["slots"] for p in plan), PART_SLOTS), "_shard", "_sx")
     slots = drawn.select("_shard", "_sx", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("_k")).join(F.broadcast(about), "_sx")
 
     @F.pandas_udf("long")

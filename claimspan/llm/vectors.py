@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE = 1 << 15
+SLICE = 1 << 12
 FIRST = 64
 SCHEMA = "slice int, task long, blob binary"
 
