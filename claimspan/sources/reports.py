@@ -93,8 +93,10 @@ def pdf_report(content: bytes, name: str) -> tuple[str, str]:
         return next((s for s in spans if len(s) > 5), name), "\n\n".join(p.get_text() for p in doc).strip()
 
 
-def load_reports(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, title, text of the PDF and HTML files of a folder (or one file), a row each; other files are left out."""
+def load_reports(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """doc_id, title, text of the PDF and HTML files of a folder (or one file), a row each; other files are left out.
+
+    strict: a path without any report is an error."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -105,6 +107,8 @@ def load_reports(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "title", "text"])
 
     files = spark.read.format("binaryFile").load(path).where(suffix(F.col("path")).isin(*SUFFIXES))
+    if strict and not files.select("path").limit(1).count():
+        raise ValueError(f"no {', '.join(SUFFIXES)} report at {path}")
     return files.select(stem(F.col("path")).alias("doc_id"), suffix(F.col("path")).alias("kind"), "content").mapInPandas(read, "doc_id string, title string, text string")
 
 

@@ -294,6 +294,30 @@ def test_stream_equals_table(spark, tmp_path):
     assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["b"]
 
 
+# ---- whole runs
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from claimspan.__main__ import main
+
+    (tmp_path / "reports").mkdir()
+    (tmp_path / "reports" / "A.html").write_text("<body>the actor used 1.2.3.4 s today</body>")
+    for name, ip in (("gold", "1.2.3.4"), ("v1", "1.2.3.4"), ("v2", "9.9.9.9")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "A.json").write_text(document(summary="actors used it", indicators_of_compromise={"ip_addresses": [{"value": ip, "evidence_snippet": "s"}]}))
+    main(["run", "--reports", str(tmp_path / "reports"), "--output-dir", str(tmp_path / "out")], spark)
+    assert spark.read.parquet(str(tmp_path / "out" / "v1")).count() == 1
+    main(["evaluate", "--gold", str(tmp_path / "gold"), "--v1", str(tmp_path / "v1"), "--v2", str(tmp_path / "v2"), "--output", str(tmp_path / "eval")], spark)
+    got = {r["variant"]: r for r in spark.read.parquet(str(tmp_path / "eval" / "summary")).collect()}
+    assert got["v1"]["macro_ioc_f1"] == 1 and got["v2"]["macro_ioc_f1"] == 0 and got["v2"]["fabrication_rate"] == 1 and got["v1"]["macro_rouge_l"] == 1
+    main(["ground", "--v1-outputs", str(tmp_path / "v1"), "--reports", str(tmp_path / "reports"), "--output-dir", str(tmp_path / "ground")], spark)
+    assert spark.read.parquet(str(tmp_path / "ground" / "claims")).count() == 1
+    main(["agree", "--original", str(tmp_path / "gold"), "--repeat", str(tmp_path / "v2")], spark)
+    assert "agreement" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="no pdf"):
+        main(["run", "--reports", str(tmp_path / "gold"), "--output-dir", str(tmp_path / "none")], spark)
+
+
 # ---- published scores, where a folder with them is named
 
 
