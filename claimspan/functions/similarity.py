@@ -100,8 +100,10 @@ def lcs_of(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-# The suffix rules of Porter's algorithm (1980), each with what replaces it.
-_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
+# The suffix rules of Porter's algorithm (1980) with the extensions of its widespread Python form, each with what replaces it,
+# and the words that it takes as they are.
+_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "fulli": "ful"}
+_IRREGULAR = {"skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
@@ -121,20 +123,27 @@ def _measure(stem: str) -> int:
 
 
 def _cvc(word: str) -> bool:
-    return _consonants(word)[-3:] == "cvc" and word[-1] not in "wxy"
+    kinds = _consonants(word)
+    return kinds == "vc" or kinds[-3:] == "cvc" and word[-1] not in "wxy"
 
 
 @lru_cache(maxsize=100_000)
 def porter_stem(word: str) -> str:
     """Porter's stem of a word in lower case."""
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
     w = word
     if len(w) <= 2:
         return w
-    if w.endswith("sses") or w.endswith("ies"):
+    if w.endswith("ies") and len(w) == 4:
+        w = w[:-1]
+    elif w.endswith("sses") or w.endswith("ies"):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
-    if w.endswith("eed"):
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         w = w[:-1] if _measure(w[:-3]) > 0 else w
     else:
         for suffix in ("ed", "ing"):
@@ -147,8 +156,12 @@ def porter_stem(word: str) -> str:
                 elif _measure(w) == 1 and _cvc(w):
                     w += "e"
                 break
-    if w.endswith("y") and "v" in _consonants(w[:-1]):
+    if w.endswith("y") and len(w) > 2 and _consonants(w[:-1])[-1] == "c":
         w = w[:-1] + "i"
+    while w.endswith("alli") and _measure(w[:-4]) > 0:
+        w = w[:-2]
+    if w.endswith("logi") and _measure(w[:-3]) > 0:
+        w = w[:-1]
     for rules in (_STEP2, _STEP3):
         suffix = max((s for s in rules if w.endswith(s)), key=len, default=None)
         if suffix and _measure(w[: -len(suffix)]) > 0:

@@ -86,8 +86,10 @@ def agreement_claims(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """The claims by which two annotations of a document are compared, in order and with repeats: doc_id, pos, claim."""
     d = F.col(doc)
     none = F.array().cast("array<string>")
-    lists = [("IP", "ip_addresses"), ("DOMAIN", "domains"), ("HASH", "file_hashes"), ("URL", "urls")]
-    parts = [F.coalesce(F.transform(d["indicators_of_compromise"][name], lambda x, p=p: F.concat(F.lit(f"{p}:"), x["value"])), none) for p, name in lists]
-    parts.append(F.coalesce(F.transform(d["ttps"], lambda t: F.concat(F.lit("TTP:"), F.coalesce(t["mitre_id"], t["tactic"], F.lit("None")))), none))
-    parts.append(F.coalesce(F.transform(d["timeline"], lambda t: F.concat(F.lit("DATE:"), t["date"])), none))
+    full = lambda field: lambda x: F.coalesce(x[field] != "", F.lit(False))
+    marked = lambda mark, field: lambda x: F.concat(F.lit(mark), x[field])
+    lists = ("ip_addresses", "domains", "file_hashes", "urls")
+    parts = [F.coalesce(F.transform(F.filter(d["indicators_of_compromise"][name], full("value")), marked("IOC:", "value")), none) for name in lists]
+    parts.append(F.coalesce(F.transform(d["ttps"], lambda t: F.concat(F.lit("TTP:"), F.coalesce(t["mitre_id"], t["tactic"], F.lit("unknown")))), none))
+    parts.append(F.coalesce(F.transform(F.filter(d["timeline"], full("date")), marked("Timeline:", "date")), none))
     return docs.select("doc_id", F.posexplode(reduce(lambda a, b: F.concat(a, b), parts)).alias("pos", "claim"))

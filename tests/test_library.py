@@ -338,6 +338,13 @@ def test_published_scores(spark):
                 checked += 1
         assert abs(metrics.unsupported_rate(system).first()["unsupported_rate"] - expected["unsupported_rate"]) <= 1.01e-4
     assert checked
+    from claimspan.operators.evaluation import evaluate_folders
+
+    tables = evaluate_folders(spark, os.environ["GOLDEN_GOLD"], {v: f"{os.environ['GOLDEN_OUTPUTS']}/{v}" for v in want["variants"]})
+    for r in tables["per_doc"].where("kind = 'ioc'").collect():
+        assert abs((r["rouge_l"] or 0.0) - want["variants"][r["variant"]]["per_doc"][r["doc_id"]]["rouge_l"]) <= 1.01e-4, r
+    for r in tables["summary"].collect():
+        assert r["schema_compliance"] == want["variants"][r["variant"]]["schema_compliance"]
     for kind in ("ioc", "ttp"):
         vectors = [(v, kind, f"{i:03d}", float(x)) for v, e in want["variants"].items() for i, x in enumerate(e[f"{kind}_f1_per_doc"])]
         got = stats.wilcoxon(stats.paired(spark.createDataFrame(vectors, "variant string, kind string, doc_id string, f1 double")), ["comparison"])
