@@ -14,6 +14,8 @@ COMPARISONS = (("v0", "v1"), ("v1", "v2"), ("v2", "v3"), ("v0", "v3"))
 LARGE, MEDIUM = 0.5, 0.3
 #: Largest number of pairs, zeros included, that is tested by the exact distribution (`auto`).
 EXACT_UP_TO = 13
+#: Largest number of differences whose exact distribution is worked out (`exact`); beyond it the normal approximation holds.
+EXACT_LIMIT = 50
 
 
 def paired(scores: DataFrame, comparisons=COMPARISONS, column: str = "f1", by: str = "kind") -> DataFrame:
@@ -27,16 +29,22 @@ def paired(scores: DataFrame, comparisons=COMPARISONS, column: str = "f1", by: s
 
 
 def signed_ranks(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", digits: int = 10) -> DataFrame:
-    """by, n, n_used, w_plus, w_minus, mean_a, mean_b, ranks: sums of mid-ranks of the differences that are not 0; ranks are doubled and so whole."""
-    d = F.round(F.col(a) - F.col(b), digits)
-    rows = pairs.withColumn("_d", d)
-    w = Window.partitionBy(*by).orderBy(F.abs("_d"))
-    ties = Window.partitionBy(*by, F.abs("_d"))
-    ranked = rows.where("_d <> 0").withColumn("_r", (2 * F.rank().over(w) + F.count(F.lit(1)).over(ties) - 1).cast("long"))
-    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_used"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0)).alias("_p"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0)).alias("_m"), F.array_sort(F.collect_list("_r")).alias("ranks"))
+    """by, n, n_used, w_plus, w_minus, total, squares, mean_a, mean_b, ranks: sums over the mid-ranks of the differences that are not 0, and,
+    for up to EXACT_LIMIT of them, the ranks themselves, doubled and so whole.
+
+    Equal differences are counted first, so the window that ranks them sorts distinct values, however many pairs a group has."""
+    rows = pairs.withColumn("_d", F.round(F.col(a) - F.col(b), digits))
+    size = rows.where("_d <> 0").groupBy(*by, F.abs("_d").alias("_a")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_d") > 0).alias("_p"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = size.withColumn("_r", 2 * before + F.col("_n") + 1)
+    sums = ranked.groupBy(*by).agg(
+        F.sum("_n").alias("n_used"), (F.sum(F.col("_p") * F.col("_r")) / 2).alias("_plus"), (F.sum((F.col("_n") - F.col("_p")) * F.col("_r")) / 2).alias("_minus"),
+        (F.sum(F.col("_n") * F.col("_r")) / 2).alias("_t"), (F.sum(F.col("_n") * F.col("_r") * F.col("_r")) / 4).alias("_s"), F.array_sort(F.collect_list(F.struct("_r", "_n"))).alias("_l"),
+    )
     whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
-    out = whole.join(sums, by, "left")
-    return out.select(*by, "n", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce(F.col("_p") / 2, F.lit(0.0)).alias("w_plus"), F.coalesce(F.col("_m") / 2, F.lit(0.0)).alias("w_minus"), "mean_a", "mean_b", F.coalesce("ranks", F.array().cast("array<bigint>")).alias("ranks"))
+    ranks = F.when(F.col("n_used") <= EXACT_LIMIT, F.flatten(F.transform("_l", lambda x: F.array_repeat(x["_r"], x["_n"].cast("int"))))).otherwise(F.array().cast("array<bigint>"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    return whole.join(sums, by, "left").select(*by, "n", F.coalesce("n_used", F.lit(0)).alias("n_used"), zero("_plus", "w_plus"), zero("_minus", "w_minus"), zero("_t", "total"), zero("_s", "squares"), "mean_a", "mean_b", F.coalesce(ranks, F.array().cast("array<bigint>")).alias("ranks"))
 
 
 def exact_p(ranks: Column, statistic: Column) -> Column:
@@ -54,10 +62,8 @@ def normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None)
 
 
-def z_score(ranks: Column, statistic: Column) -> Column:
+def z_score(statistic: Column, total: Column, squares: Column) -> Column:
     """The statistic's distance from its mean in deviations, with the variance that ties leave, without continuity correction."""
-    total = F.aggregate(ranks, F.lit(0.0), lambda s, r: s + r / 2)
-    squares = F.aggregate(ranks, F.lit(0.0), lambda s, r: s + r * r / 4)
     return (statistic - total / 2) / F.sqrt(squares / 4)
 
 
@@ -69,8 +75,8 @@ def effect_size(n: Column, statistic: Column) -> Column:
 def wilcoxon(pairs: DataFrame, by: list[str], method: str = "auto", alpha: float = 0.05) -> DataFrame:
     """The paired test in each group: n, statistic, p_value, significant, effect_size_r, effect_label, direction (a, b)."""
     s = signed_ranks(pairs, by).withColumn("_w", F.least("w_plus", "w_minus"))
-    exact, normal = exact_p(F.col("ranks"), F.col("_w")), normal_p(F.when(F.col("n_used") > 0, z_score(F.col("ranks"), F.col("_w"))))
-    use = {"exact": F.lit(True), "normal": F.lit(False), "auto": F.col("n") <= EXACT_UP_TO}[method]
+    exact, normal = exact_p(F.col("ranks"), F.col("_w")), normal_p(F.when(F.col("n_used") > 0, z_score(F.col("_w"), F.col("total"), F.col("squares"))))
+    use = {"exact": F.col("n_used") <= EXACT_LIMIT, "normal": F.lit(False), "auto": F.col("n") <= EXACT_UP_TO}[method]
     none = F.col("n_used") == 0
     s = s.withColumn("p_value", F.when(none, 1.0).when(use, exact).otherwise(normal))
     r = F.when(none, 0.0).otherwise(effect_size(F.col("n"), F.col("_w")))
