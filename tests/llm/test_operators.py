@@ -59,6 +59,18 @@ def test_leaks_of_every_kind(spark):
     assert got <= want
 
 
+def test_every_item_of_a_large_benchmark_is_found(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9))) for _ in range(20_000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    # 300 groups of three with 22 words in common have the strongest directions; the other 120 items have nothing in common with any.
+    common = [text(22) for _ in range(300)]
+    items = [(i, f"{common[i % 300]} {text(8)}" if i < 900 else text(rng.randint(15, 40))) for i in range(1020)]
+    docs = [(i, f"{text(60)} {t} {text(60)}") for i, t in items] + [(i, text(120)) for i in range(1020, 1300)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 def test_lcs_and_answer():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
