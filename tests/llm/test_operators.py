@@ -186,6 +186,21 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got if r["held_out"]]) > 0.97
 
 
+def test_languages_alike_in_blocks_of_windows(spark, monkeypatch):
+    rng = random.Random(13)
+    pieces = {"en": ["the", "ing", "tion", "and", "er"], "de": ["ung", "sch", "der", "keit", "ei"], "fr": ["eau", "ment", "oi", "que", "é"], "xx": ["zub", "vek", "漢字", "кот"]}
+    docs = []
+    for i in range(330):
+        lang = list(pieces)[i % 3] if i < 300 else "xx" if i < 320 else "en"
+        docs.append((i, " ".join("".join(rng.choice(pieces[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 40))), lang))
+    docs += [(400, None, "en"), (401, "", None), (402, "123 !", "de"), (403, "a", "fr"), (404, docs[0][1], None), (405, docs[0][1], None), (None, "zubvek zub", None)]
+    run = lambda: sorted((str(r["doc_id"]), r["lang_pred"], r["rejected"], round(r["score"], 9)) for r in language_id.language_id(frame(spark, docs, "doc_id long, text string, lang string")).collect())
+    want = run()
+    assert {r[1] for r in want} == {"en", "de", "fr", "xx", "und"}
+    monkeypatch.setattr(language_id, "MAX_WINDOWS", 600)
+    assert run() == want
+
+
 # ---- 5 mixing
 
 
