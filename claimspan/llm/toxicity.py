@@ -4,8 +4,8 @@ Folding: lower case, marks and invisible characters dropped, accented, full-widt
 letter, digits and signs that stand for letters to that letter, and i, l and 1 to one letter. Terms are folded in
 the same way, so a disguised term equals the plain one. A term counts as a whole word that does not lie in an exception phrase.
 
-The lexicon is SEEDS and the words that labels teach: those of MIN_DOCS toxic training documents or more (near copies count
-once) whose documents are toxic in at least PRECISION of all cases. A term's weight is its smoothed log odds. The raw score is the sum of
+The lexicon is SEEDS and the words that labels teach: those of MIN_DOCS toxic training documents or more whose documents are toxic in at
+least PRECISION of all cases. Of either label, documents that agree in all of MARKS minimum hashes of their words (copies, most near copies) count once. A term's weight is its smoothed log odds. The raw score is the sum of
 the weights found per word of text (plus SMOOTH words); a logistic curve fitted to the training documents turns it into 0 to 1.
 
 Fitted on at most MAX_TOXIC toxic and MAX_CLEAN other training documents (by hash of doc_id); counts of a term cover
@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .words import mix
 
 THRESHOLD = 0.7
 MAX_TOXIC = 10_000
@@ -37,6 +37,7 @@ MAX_CLEAN = 30_000
 MAX_CANDIDATES = 50_000
 MAX_TERMS = 2_000
 MIN_DOCS = 4
+MARKS = 4
 PRECISION = 0.85
 SMOOTH = 20
 SEED_WEIGHT = 4.0
@@ -95,6 +96,16 @@ def terms_of(text: str) -> set[str]:
     return {w for w in _WORD.findall(fold(text)) if 3 <= len(w) <= 40}
 
 
+def mark_of(terms: set[str]) -> int:
+    """A signature of MARKS minimum hashes of a text's terms, which texts that have a line or some words in common do not share."""
+    if not terms:
+        return 0
+    own, out = np.array([zlib.crc32(t.encode()) for t in terms], np.uint64), np.zeros(1, np.uint64)
+    for k in range(1, MARKS + 1):
+        out = mix(out + mix(own + np.uint64(k << 32)).min())
+    return int(out.view(np.int64)[0])
+
+
 class Matcher:
     """The automaton of a lexicon (folded term to weight) and of exception phrases."""
 
@@ -155,28 +166,32 @@ def fit(docs: DataFrame, train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -
     if not (n_toxic and n_clean):
         return {"lexicon": lexicon, "a": -3.0, "b": 1.0}
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                own = terms_of(text or "")
-                mark = min((zlib.crc32(t.encode()) for t in own), default=0)
-                seen.update((t, mark) for t in own)
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([m for _, m in seen], pa.int64())], names=["term", "mark"])
-
-    # Copies and near copies mostly have one mark, so they count as one document.
-    toxic = sample.where("toxic = 1").select("text")
-    often = toxic.mapInArrow(terms, "term string, mark long").groupBy("term").agg(F.countDistinct("mark").alias("n")).where(F.col("n") >= MIN_DOCS)
-    picked = {r["term"]: r["n"] for r in often.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                c.update(x for x in terms_of(text or "") if x in picked)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
-
-    other = {r["term"]: r["n"] for r in sample.where("toxic = 0").select("text").mapInArrow(clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    def documents(label: int, wanted: dict[str, int] | None = None) -> DataFrame:
+        """term, n: in how many documents of a label a term occurs, by their marks; the term "" is all of them."""
+
+        def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[str, int]] = set()
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    own = terms_of(text or "")
+                    mark = mark_of(own)
+                    seen.update((t, mark) for t in own if wanted is None or t in wanted)
+                    seen.add(("", mark))
+                    if len(seen) > 200_000:
+                        yield rows(seen)
+                        seen.clear()
+            yield rows(seen)
+
+        def rows(seen: set[tuple[str, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([m for _, m in seen], pa.int64())], names=["term", "mark"])
+
+        return sample.where(F.col("toxic") == label).select("text").mapInArrow(terms, "term string, mark long").groupBy("term").agg(F.countDistinct("mark").alias("n"))
+
+    often = documents(1).where((F.col("n") >= MIN_DOCS) | (F.col("term") == ""))
+    picked = {r["term"]: r["n"] for r in often.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES + 1).collect()}
+    n_toxic = picked.pop("")
+    other = {r["term"]: r["n"] for r in documents(0, picked).collect()}
+    n_clean = other.pop("")
     for s in list(lexicon):
         lexicon[s] = max(1.0, _odds(picked.get(s, 0), other.get(s, 0), n_toxic, n_clean)) if s in picked else SEED_WEIGHT
     kept = sorted((t for t, n in picked.items() if n / (n + other.get(t, 0)) >= PRECISION), key=lambda t: (-picked[t], t))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,21 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_unrelated_documents_teach_apart_and_copies_once(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("aeounrst") for _ in range(8))
+    # The words of lowest hash stand in every document.
+    line = " ".join(sorted((word() for _ in range(5000)), key=lambda w: zlib.crc32(toxicity.fold(w).encode()))[:3])
+    own = lambda: line + "\n" + " ".join(word() for _ in range(30))
+    docs = [(i, own() + (" vexgrub" if i < 14 else " mokfund")) for i in range(28)] + [(i, own()) for i in range(28, 100)]
+    copied = own() + " mokfund"
+    docs += [(i, copied) for i in range(100, 140)]
+    train = frame(spark, [(i, int(i < 28)) for i, _ in docs], "doc_id long, toxic int")
+    lexicon = toxicity.fit(frame(spark, docs), train)["lexicon"]
+    assert toxicity.fold("vexgrub") in lexicon and toxicity.fold("mokfund") in lexicon
+    assert toxicity.fold(line.split()[0]) not in lexicon
+
+
 # ---- 4 language identification
 
 
