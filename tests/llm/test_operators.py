@@ -87,6 +87,15 @@ def test_lcs_and_answer():
     assert decontaminate._answer(b"What is it? It is a red house.") == b" It is a red house"
 
 
+def test_paraphrase_of_an_item_with_repeated_words():
+    index = object.__new__(decontaminate.Index)
+    own = [1, 2] * 8 + list(range(10, 24))
+    index.words, index.answers = [own], [own[-4:]]
+    window = [1, 2] * 8 + list(range(100, 110)) + own[-4:]
+    assert index.check(0, window) == decontaminate.lcs(own, window) / 30 == 20 / 30
+    assert index.check(0, [1, 2] * 4 + list(range(100, 118)) + own[-4:]) is None
+
+
 # ---- 2 line dedup
 
 
