@@ -87,6 +87,13 @@ def test_lcs_and_answer():
     assert decontaminate._answer(b"What is it? It is a red house.") == b" It is a red house"
 
 
+def test_a_very_long_item_is_found(spark):
+    item = " ".join(f"w{i}x" for i in range(12_000))
+    docs = [(1, "before it " + item + " after it"), (2, " ".join(f"v{i}y" for i in range(12_000)))] + [(i, f"some other text {i}") for i in range(3, 60)]
+    got = decontaminate.leaks(frame(spark, docs), frame(spark, [(1, item), (2, "a short item of seven words here")], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 1)] and got[0]["lcs_share"] == 1
+
+
 def test_paraphrase_of_an_item_with_repeated_words():
     index = object.__new__(decontaminate.Index)
     own = [1, 2] * 8 + list(range(10, 24))
