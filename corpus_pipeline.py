@@ -3,11 +3,14 @@
 run(spark, sf_dir) applies STAGES to the table documents, writing what each stage returns as Parquet in the shared folder.
 Every stage reads whole texts of all documents it gets, keeps the columns of documents (n_chars follows a changed text),
 and lets its decisions take effect.
+
+Defined cases: the stages that remove near copies and leaks decide by row, known by a 64-bit hash of doc_id and text, so a row without doc_id and each
+of several texts under one doc_id have their own decision. Of rows that agree in doc_id and text the near-copy stage keeps one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspan.llm import decontaminate, jaccard_join, line_dedup, mixing, toxicity
@@ -21,6 +24,11 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _key() -> Column:
+    """A hash of what a row is known by: its doc_id and text, either of which may be null."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
     scored = toxicity.toxicity(docs.select(*COLUMNS), _labels(spark, sf_dir))
@@ -36,16 +44,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of documents that links of 5-word shingles at a Jaccard similarity of 0.8 connect."""
-    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row, that with the smallest id (none comes last), of each group of rows that links of 5-word shingles at a Jaccard similarity of 0.8 connect."""
+    keyed = docs.select(*COLUMNS, _key().alias("_key"))
+    groups = jaccard_join.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
+    own = keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
+    group = groups.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct()
+    held = materialise(group.join(own, "_key"), "pipeline-groups")
+    kept = held.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_key")).alias("_first")).select("_first._key")
+    rest = keyed.join(held.join(kept, "_key", "left_anti").select("_key"), "_key", "left_anti")
+    twice = held.where("_n > 1").select("_key")
+    several = rest.join(twice, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("_row"))
+    return rest.join(twice, "_key", "left_anti").select(*COLUMNS).union(several.select(*(f"_row.{c}" for c in COLUMNS)))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    found = decontaminate.leaks(docs.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.select(F.col("doc_id").alias("_key")).distinct()
+    return docs.select(*COLUMNS, _key().alias("_key")).join(gone, "_key", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

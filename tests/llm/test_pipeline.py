@@ -39,3 +39,20 @@ def test_stages_take_effect(spark, tmp_path):
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in mixed} == set(kept["decontamination"])
     assert all(r["taken"] <= 2 * r["size"] for r in mixed)
+
+
+def test_rows_without_or_with_one_id(spark, tmp_path):
+    rng = random.Random(15)
+    vocab = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item, a, b, c, d = text(40), text(60), text(60), text(60), text(60)
+    leak, other = f"{text(20)} {item} {text(20)}", f"{text(20)} {item} {text(20)}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, a), (7, a), (None, b), (None, b), (8, c), (8, c), (9, d), (9, leak), (None, other), (10, ""), (10, ""), (None, None), (11, None)]
+    rows += [(i, text(60)) for i in range(100, 160)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    want = [(7, a), (None, b), (8, c), (9, d), (9, leak), (None, other), (10, ""), (None, None), (11, None)] + rows[-60:]
+    assert sorted(near, key=str) == sorted(want, key=str)
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()]
+    assert sorted(clean, key=str) == sorted((r for r in rows if r[1] not in (leak, other)), key=str)
