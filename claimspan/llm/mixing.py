@@ -3,7 +3,8 @@
 The words of a source, in a fixed pseudorandom order of its documents, are packed into blocks of `block_words` words (the
 last block of a source can be shorter). The mix is a sequence of slots in output shards. For each shard the number of
 slots of every source is drawn from a multinomial distribution over what the sources have left, so shards are random mixes
-while each source gets its total exactly. Slot k of a source maps through that source's own index permutation (a keyed
+while each source gets its total exactly: the driver draws for groups of shards, as many as the root of their number, and executors for the
+shards of a group. Slot k of a source maps through that source's own index permutation (a keyed
 Feistel network over its block numbers, another key in each epoch) to a block; slots and blocks join by (source, block).
 A source that is oversampled starts a second epoch, so no block is taken more than twice. The last slot of a source stops
 at the word where the target is met.
@@ -12,10 +13,11 @@ Targets: sources by code point, null last, weigh `weights` in turn and share `sh
 `most` times its source's words and the excess is shared again by weight until none is above.
 
 Offsets in a source come from a two-level prefix sum over buckets of documents, so a source with a third of all rows is
-never in one task. Only the table of sources (a row each, up to MAX_SOURCES) and shard counts are on the driver.
+never in one task. The driver holds a row for each source and for each group of shards and source; tables of up to BROADCAST sources are broadcast, larger ones joined.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source is a source of its own; rows with equal
-doc_id are documents of their own; other columns are not read; equal seeds give equal mixes.
+doc_id are documents of their own, in an order by their texts, so equal seeds give equal mixes however the rows are stored (which of several equal rows
+gets which share is open); other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -35,8 +38,7 @@ SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
-MAX_SHARDS = 1 << 16
-MAX_SOURCES = 100_000
+BROADCAST = 100_000
 BUCKET_ROWS = 4096
 PART_SLOTS = 1 << 18
 SEED = 20_240_601
@@ -49,22 +51,18 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
-    """Word targets of sources in order."""
-    n, total = len(sizes), share * sum(sizes)
-    w = [weights[i % len(weights)] for i in range(n)]
-    out, open_ = [0.0] * n, list(range(n))
-    while open_:
-        rest = total - sum(out[i] for i in range(n) if i not in set(open_))
-        by = sum(w[i] for i in open_)
-        for i in open_:
-            out[i] = rest * w[i] / by
-        above = [i for i in open_ if out[i] > most * sizes[i]]
-        if not above:
-            return out
-        for i in above:
-            out[i] = float(most * sizes[i])
-        open_ = [i for i in open_ if i not in set(above)]
-    return out
+    """Word targets of sources in order. The source with the least room for its weight is full first, so one pass in that order shares all excess."""
+    size = np.array(sizes, float)
+    w = np.array(weights, float)[np.arange(len(size)) % len(weights)]
+    out, rest, by = most * size, share * float(sum(sizes)), float(w.sum())
+    order = np.argsort(size / w, kind="stable")
+    for k, i in enumerate(order.tolist()):
+        if rest * w[i] / by <= most * size[i]:
+            open_ = order[k:]
+            out[open_] = rest * w[open_] / w[open_].sum()
+            break
+        rest, by = rest - out[i], by - w[i]
+    return out.tolist()
 
 
 def _round_key(x: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -117,7 +115,7 @@ def _plan(sources: list[tuple[str | None, int]], block: int, seed: int, **kw) ->
     return out
 
 
-def shard_counts(slots: list[int], shard_slots: int, seed: int) -> list[tuple[int, int, int, int]]:
+def shard_counts(slots: list[int], shard_slots: int, seed) -> list[tuple[int, int, int, int]]:
     """(shard, source, slots, first slot of the source): multinomial draws over what is left, until it is used up."""
     rng, left = np.random.default_rng(seed), np.array(slots, np.int64)
     done, out, shard = np.zeros(len(left), np.int64), [], 0
@@ -133,13 +131,13 @@ def shard_counts(slots: list[int], shard_slots: int, seed: int) -> list[tuple[in
     return out
 
 
-def packed_blocks(docs: DataFrame, sources: DataFrame, block: int) -> DataFrame:
-    """_sx, _block, _row, _from, _words: which words of which document lie in each block; docs has _row, _sx, _order, size."""
-    b = docs.join(F.broadcast(sources.select("_sx", "_buckets")), "_sx").withColumn("_bucket", F.pmod("_order", "_buckets"))
+def packed_blocks(docs: DataFrame, block: int) -> DataFrame:
+    """_sx, _block, _row, _from, _words: which words of which document lie in each block; docs has _row, _sx, _order, _buckets, size."""
+    b = docs.withColumn("_bucket", F.pmod("_order", "_buckets"))
     sums = b.groupBy("_sx", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_sx").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_sx", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_sx", "_bucket").orderBy("_order", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_sx", "_bucket").orderBy("_order", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = b.where("size > 0").withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(base, ["_sx", "_bucket"]).withColumn("_off", F.col("_base") + F.col("_in"))
     first, last = F.floor(F.col("_off") / block), F.floor((F.col("_off") + F.col("size") - 1) / block)
@@ -149,14 +147,30 @@ def packed_blocks(docs: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     return cut.select("_sx", "_block", "_row", (start - F.col("_block") * block).alias("_from"), (start - F.col("_off")).alias("_doc_from"), (end - start).alias("_words"))
 
 
+def _few(table: DataFrame, plan: list[dict]) -> DataFrame:
+    """A table with a row for each source, broadcast if they are BROADCAST at most."""
+    return F.broadcast(table) if len(plan) <= BROADCAST else table
+
+
 def mix_slots(spark, plan: list[dict], block: int, shard_slots: int, seed: int) -> DataFrame:
     """_shard, _sx, _epoch, _block, _limit: the block that each slot takes, and how many of its words."""
-    counts = shard_counts([p["slots"] for p in plan], shard_slots, seed)
+    total = sum(p["slots"] for p in plan)
+    wide = max(1, int(np.ceil(np.sqrt(total / shard_slots))))
+    counts = shard_counts([p["slots"] for p in plan], shard_slots * wide, seed)
     about = spark.createDataFrame([(i, p["blocks"], p["slots"], p["last"], epoch_key(seed, p["source"], 0), epoch_key(seed, p["source"], 1)) for i, p in enumerate(plan) if p["slots"]], "_sx int, _blocks long, _slots long, _last long, _key0 long, _key1 long")
-    drawn = spark.createDataFrame(counts, "_shard int, _sx int, _n long, _first long")
+
+    def draw(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("_sx")
+        source, first = group["_sx"].to_numpy(), group["_first"].to_numpy()
+        rows = shard_counts(group["_n"].to_pylist(), shard_slots, [seed, key[0].as_py()])
+        shard, at, n, done = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((),) * 4))
+        return pa.table({"_shard": pa.array(shard + key[0].as_py() * wide, pa.int64()), "_sx": pa.array(source[at], pa.int32()), "_n": n, "_first": first[at] + done})
+
+    groups = spark.createDataFrame(counts, "_group long, _sx int, _n long, _first long")
+    drawn = groups.groupBy("_group").applyInArrow(draw, "_shard long, _sx int, _n long, _first long")
     # A named number of partitions: the rows are few, the slots that they become are many.
-    drawn = drawn.repartition(blocks_of(sum(p["slots"] for p in plan), PART_SLOTS), "_shard", "_sx")
-    slots = drawn.select("_shard", "_sx", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("_k")).join(F.broadcast(about), "_sx")
+    drawn = drawn.repartition(blocks_of(total, PART_SLOTS), "_shard", "_sx")
+    slots = drawn.select("_shard", "_sx", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("_k")).join(_few(about, plan), "_sx")
 
     @F.pandas_udf("long")
     def block_of(k: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
@@ -167,26 +181,30 @@ def mix_slots(spark, plan: list[dict], block: int, shard_slots: int, seed: int)
     return slots.select("_shard", "_sx", epoch.alias("_epoch"), found.alias("_block"), F.when(F.col("_k") == F.col("_slots") - 1, F.col("_last")).otherwise(F.lit(block)).alias("_limit"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans). documents: doc_id, source, size, source_size, target, taken, a row for each row of docs.
+def mix_sources(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, keep: tuple[str, ...] = ("doc_id",), parts: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(documents, spans). documents: the columns to keep, then source, size, source_size, target, taken, a row for each row of docs; with `parts` also the document's
+    spans in the order of the shards.
     spans: shard, source, epoch, block, doc_id, start, n_words: the words that each slot of the mix takes, in document order."""
     if not 0 < share <= most <= 2:
         raise ValueError("share must be positive and at most `most`, which is at most 2")
     spark = docs.sparkSession
-    own = materialise(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
-    found = own.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
+    rest = [c for c in keep if c not in ("doc_id", "source")]
+    # The order of documents in a source depends on their ids and texts alone, not on how the input was read.
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")).alias("_order")
+    own = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), *(F.col(f"`{c}`").alias(f"_keep_{c}") for c in rest), word_count(F.col("text")).alias("size"), order).withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
+    found = own.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     plan = _plan([(r["source"], r["size"]) for r in found], block_words, seed, weights=weights, share=share, most=most)
-    shard_slots = max(shard_slots, -(-sum(p["slots"] for p in plan) // MAX_SHARDS))
     sources = spark.createDataFrame([(i, p["source"], p["size"], float(p["target"]), -(-r["rows"] // BUCKET_ROWS)) for i, (p, r) in enumerate(zip(plan, found))], "_sx int, _source string, source_size long, target double, _buckets long")
-    # The order of documents in a source depends on their ids alone, not on how the input was read.
-    named = own.join(F.broadcast(sources.select("_sx", "_source", "source_size", "target")), F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    blocks = packed_blocks(named.select("_row", "_sx", "_order", "size"), sources, block_words)
+    named = own.join(_few(sources, plan), F.col("source").eqNullSafe(F.col("_source")), "left")
+    blocks = packed_blocks(named.select("_row", "_sx", "_order", "_buckets", "size"), block_words)
     slots = mix_slots(spark, plan, block_words, shard_slots, seed)
     taken = slots.join(blocks, ["_sx", "_block"]).withColumn("_got", F.least(F.col("_words"), F.col("_limit") - F.col("_from"))).where("_got > 0")
-    total = taken.groupBy("_row").agg(F.sum("_got").alias("_taken"))
-    out = named.join(total, "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken"))
-    spans = taken.join(named.select("_row", "doc_id", "source"), "_row").select(F.col("_shard").alias("shard"), "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), "doc_id", F.col("_doc_from").alias("start"), F.col("_got").alias("n_words"))
+    span = [F.col("_shard").alias("shard"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_doc_from").alias("start"), F.col("_got").alias("n_words")]
+    total = taken.groupBy("_row").agg(F.sum("_got").alias("_taken"), *([F.array_sort(F.collect_list(F.struct(*span))).alias("parts")] if parts else []))
+    kept = [F.col(f"_keep_{c}").alias(c) if c in rest else F.col(c) for c in keep]
+    out = named.join(total, "_row", "left").select(*kept, *(["source"] if "source" not in keep else []), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken"), *(["parts"] if parts else []))
+    spans = taken.join(named.select("_row", "doc_id", "source"), "_row").select(span[0], "source", span[1], span[2], "doc_id", span[3], span[4])
     return out, spans

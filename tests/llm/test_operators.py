@@ -328,6 +328,33 @@ def test_shards_use_up_the_slots():
     assert all(sum(n for h, _, n, _ in drawn if h == shard) <= 16 for shard, *_ in drawn)
 
 
+def test_targets_against_rounds_of_sharing():
+    """The definition: what is above `most` times a source goes to the others by weight, until none is above."""
+    rng = random.Random(31)
+    for _ in range(200):
+        sizes = [rng.choice([0, rng.randint(1, 50), rng.randint(1, 5000)]) for _ in range(rng.randint(1, 9))]
+        w, out, held = [(5, 2, 1)[i % 3] for i in range(len(sizes))], [0.0] * len(sizes), set()
+        while True:
+            rest, by = 1.5 * sum(sizes) - sum(out[i] for i in held), sum(w[i] for i in range(len(sizes)) if i not in held)
+            for i in set(range(len(sizes))) - held:
+                out[i] = rest * w[i] / by
+            above = {i for i in range(len(sizes)) if i not in held and out[i] > 2 * sizes[i] + 1e-9}
+            if not above:
+                break
+            for i in above:
+                out[i] = 2.0 * sizes[i]
+            held |= above
+        assert np.allclose(mixing.targets(sizes), out)
+
+
+def test_reruns_agree_however_rows_are_stored(spark):
+    rng = random.Random(32)
+    docs = [(rng.choice([None, *range(40)]), "w " * rng.randint(0, 90), rng.choice(["a", "b"])) for _ in range(300)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    run = lambda n: sorted((str(r["doc_id"]), r["source"], r["size"], r["taken"]) for r in mixing.mix_sources(table.repartition(n), block_words=16, shard_slots=8)[0].collect())
+    assert run(1) == run(2) == run(7)
+
+
 def test_mix_meets_targets_and_repeats(spark):
     rng = random.Random(6)
     docs = [(i, "w " * (rng.randint(0, 300) if i % 3 else rng.randint(0, 30)), rng.choice(["a", "b", "c", "d", None, "Z"])) for i in range(400)]
