@@ -2,7 +2,7 @@
 
 run(spark, sf_dir) applies STAGES to the table documents, writing what each stage returns as Parquet in the shared folder.
 Every stage reads whole texts of all documents it gets, keeps the columns of documents (n_chars follows a changed text),
-and lets its decisions take effect.
+and lets its decisions take effect; the last adds what the mix takes of each document that it takes words of.
 
 Defined cases: the stages that remove near copies and leaks decide by row, known by a 64-bit hash of doc_id and text, so a row without doc_id and each
 of several texts under one doc_id have their own decision. Of rows that agree in doc_id and text the near-copy stage keeps one.
@@ -31,12 +31,14 @@ def _key() -> Column:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
+    ship(spark)
     scored = toxicity.toxicity(docs.select(*COLUMNS), _labels(spark, sf_dir))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that recur in many of them; a document that loses all its lines stays, empty."""
+    ship(spark)
     kept = line_dedup.line_dedup(docs.select(*COLUMNS))
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("_row.text"))
     out = kept.select("_row.doc_id", text.alias("text"), "_row.lang", "_row.source", F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("_row.n_chars")).alias("n_chars"))
@@ -45,6 +47,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that with the smallest id (none comes last), of each group of rows that links of 5-word shingles at a Jaccard similarity of 0.8 connect."""
+    ship(spark)
     keyed = docs.select(*COLUMNS, _key().alias("_key"))
     groups = jaccard_join.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
     own = keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
@@ -59,15 +62,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    ship(spark)
     found = decontaminate.leaks(docs.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.select(F.col("doc_id").alias("_key")).distinct()
     return docs.select(*COLUMNS, _key().alias("_key")).join(gone, "_key", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, and its source's target."""
-    documents, _ = mixing.mix_sources(docs.select("doc_id", "source", "text"))
-    return documents
+    """The documents that the mix takes words of: their columns, then size, source_size, target, taken, and parts (shard, epoch, block, start, n_words), the runs of
+    its words in the order of the shards. A document without words, or that no slot falls on, is not in the mix; rows with equal values have a row each."""
+    ship(spark)
+    documents, _ = mixing.mix_sources(docs.select(*COLUMNS), keep=COLUMNS, parts=True)
+    return documents.where("taken > 0")
 
 
 STAGES = [
