@@ -16,9 +16,11 @@ ASCII_WS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on one machine (tests), a new one; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="claimspan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -39,16 +41,25 @@ def _leave(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage in a way that outlives any executor.
-
-    The application's tables go when Python exits, if the session is still there."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The application's folder in the shared one; its tables go when Python exits, if the session is still there."""
     home = f"{shared_dir(spark)}/claimspan/{spark.sparkContext.applicationId}"
     if home not in _homes:
         _homes.add(home)
         atexit.register(_leave, spark, home)
-    path = f"{home}/{label}-{uuid.uuid4().hex}"
+    return home
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what a step wrote in the application's folder."""
+    if path.startswith(folder(spark)):
+        _delete(spark, path)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: cuts lineage in a way that outlives any executor."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -196,8 +196,26 @@ def test_line_dedup_against_brute_force(spark):
             assert (got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept_text"]) == (len(lines), len(lines) - len(kept), "\n".join(kept))
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    docs = [(1, "x\ny")] * 12 + [(1, "x\nz")] + [(None, "y")] * 12 + [(i, "z") for i in range(2, 11)] + [(11, "w"), (11, "w")]
+    got = line_dedup.line_dedup(frame(spark, docs), min_docs=10).select("_row.doc_id", "_row.text", "n_dropped").distinct().collect()
+    assert {(r["doc_id"], r["text"]): r["n_dropped"] for r in got if r["n_dropped"]} == {(1, "x\nz"): 1, **{(i, "z"): 1 for i in range(2, 11)}}
+
+
+def test_runs_merge_without_shuffle_or_sort(spark):
+    runs = line_dedup.LineRuns(spark, fanout=8)
+    for b in range(3):
+        runs.add(frame(spark, [(i, f"line {i % 7}\nown {i}") for i in range(b * 40, b * 40 + 40)]))
+    with line_dedup._in_order(spark):
+        merged = runs.counts()
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert sorted(r["_n"] for r in merged.collect())[-7:] != [1] * 7 and merged.count() == 127
+    runs.drop()
+
+
 def test_line_runs_levels_and_admit(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
+    runs = line_dedup.LineRuns(spark, fanout=2, limit=10)
     first = line_dedup.admit(frame(spark, [(1, "x\ny\nx")]), runs)
     assert first.first()["kept_text"] == "x\ny\nx"
     assert line_dedup.admit(frame(spark, [(2, "Y\nz\n")]), runs).first()["kept_text"] == "z\n"
