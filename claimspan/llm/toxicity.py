@@ -4,14 +4,17 @@ Folding: lower case, marks and invisible characters dropped, accented, full-widt
 letter, digits and signs that stand for letters to that letter, and i, l and 1 to one letter. Terms are folded in
 the same way, so a disguised term equals the plain one. A term counts as a whole word that does not lie in an exception phrase.
 
+In languages with marks, folding makes one term of words that differ (a toxic one with an acute, say, and a harmless one with a grave). Words with letters beyond
+ASCII are therefore terms a second time as they are written, in lower case, with an automaton of their own; they are written with EXACT before them in the lexicon.
+
 The lexicon is SEEDS and the words that labels teach: those of MIN_DOCS toxic training documents or more whose documents are toxic in at
 least PRECISION of all cases. Of either label, documents that agree in all of MARKS minimum hashes of their words (copies, most near copies) count once. A term's weight is its smoothed log odds. The raw score is the sum of
 the weights found per word of text (plus SMOOTH words); a logistic curve fitted to the training documents turns it into 0 to 1.
 
 Fitted on at most MAX_TOXIC toxic and MAX_CLEAN other training documents (by hash of doc_id); counts of a term cover
-that sample. Every document is scored over its whole text.
+that sample, and every term of it that passes is in the lexicon. Every document is scored over its whole text.
 
-Defined cases: null or empty text has no hits and gets the score of none; without labels of both kinds the seeds and fixed curve decide;
+Defined cases: a document with labels of both kinds teaches nothing; null or empty text has no hits and gets the score of none; without labels of both kinds the seeds and fixed curve decide;
 repeated rows score equally; other columns are not read, and those named like a result give way to it.
 """
 
@@ -34,12 +37,11 @@ from .words import mix
 THRESHOLD = 0.7
 MAX_TOXIC = 10_000
 MAX_CLEAN = 30_000
-MAX_CANDIDATES = 50_000
-MAX_TERMS = 2_000
 MIN_DOCS = 4
 MARKS = 4
 PRECISION = 0.85
 SMOOTH = 20
+EXACT = "="
 SEED_WEIGHT = 4.0
 
 #: Words that insult a person or a group of readers, whatever the corpus.
@@ -91,9 +93,17 @@ def fold(text: str) -> str:
     return text.translate(_FOLD)
 
 
+def written(text: str) -> str:
+    """The text in which terms are matched as they are written."""
+    return unicodedata.normalize("NFC", text.lower())
+
+
 def terms_of(text: str) -> set[str]:
-    """The words of a text that can be terms."""
-    return {w for w in _WORD.findall(fold(text)) if 3 <= len(w) <= 40}
+    """The words of a text that can be terms: folded, and those beyond ASCII as they are written too."""
+    terms = {w for w in _WORD.findall(fold(text)) if 3 <= len(w) <= 40}
+    if not text.isascii():
+        terms |= {EXACT + w for w in _WORD.findall(written(text)) if 3 <= len(w) <= 40 and not w.isascii()}
+    return terms
 
 
 def mark_of(terms: set[str]) -> int:
@@ -107,28 +117,40 @@ def mark_of(terms: set[str]) -> int:
 
 
 class Matcher:
-    """The automaton of a lexicon (folded term to weight) and of exception phrases."""
+    """The automata of a lexicon (term to weight), folded and as written, and of exception phrases."""
 
     def __init__(self, lexicon: dict[str, float], exceptions=EXCEPTIONS):
-        import ahocorasick
+        folded = [(fold(phrase), 0.0) for phrase in exceptions] + [(t, float(w)) for t, w in lexicon.items() if not t.startswith(EXACT)]
+        self.folded = self._automaton(folded)
+        self.exact = self._automaton([(t.removeprefix(EXACT), float(w)) for t, w in lexicon.items() if t.startswith(EXACT)])
 
-        self.automaton = ahocorasick.Automaton()
-        for phrase in exceptions:
-            self.automaton.add_word(fold(phrase), (len(fold(phrase)), 0.0))
-        for term, weight in lexicon.items():
-            self.automaton.add_word(term, (len(term), float(weight)))
-        if len(self.automaton):
-            self.automaton.make_automaton()
+    @staticmethod
+    def _automaton(words: list[tuple[str, float]]):
+        import ahocorasick
 
-    def hits(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) in the folded text of every term found."""
-        text = fold(text)
-        found, free, size = [], [], len(text)
-        for end, (length, weight) in self.automaton.iter(text) if len(self.automaton) else ():
+        automaton = ahocorasick.Automaton()
+        for word, weight in words:
+            automaton.add_word(word, (len(word), weight))
+        if len(automaton):
+            automaton.make_automaton()
+        return automaton
+
+    @staticmethod
+    def _found(automaton, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of every whole word or phrase found."""
+        found, size = [], len(text)
+        for end, (length, weight) in automaton.iter(text) if len(automaton) else ():
             start, end = end - length + 1, end + 1
             if (start == 0 or not text[start - 1].isalnum()) and (end == size or not text[end].isalnum()):
-                (found if weight else free).append((start, end, weight))
-        return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in free)] if free else found
+                found.append((start, end, weight))
+        return found
+
+    def hits(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of every term found, in the folded text, then in the text as written."""
+        every = self._found(self.folded, fold(text))
+        free = [h for h in every if not h[2]]
+        hits = [h for h in every if h[2] and not any(a <= h[0] and h[1] <= b for a, b, _ in free)]
+        return hits if text.isascii() else hits + self._found(self.exact, written(text))
 
 
 def raw_score(matcher: Matcher, text: str | None) -> tuple[float, int]:
@@ -188,15 +210,16 @@ def fit(docs: DataFrame, train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -
         return sample.where(F.col("toxic") == label).select("text").mapInArrow(terms, "term string, mark long").groupBy("term").agg(F.countDistinct("mark").alias("n"))
 
     often = documents(1).where((F.col("n") >= MIN_DOCS) | (F.col("term") == ""))
-    picked = {r["term"]: r["n"] for r in often.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES + 1).collect()}
+    picked = {r["term"]: r["n"] for r in often.collect()}  # words of MAX_TOXIC documents
     n_toxic = picked.pop("")
     other = {r["term"]: r["n"] for r in documents(0, picked).collect()}
     n_clean = other.pop("")
     for s in list(lexicon):
         lexicon[s] = max(1.0, _odds(picked.get(s, 0), other.get(s, 0), n_toxic, n_clean)) if s in picked else SEED_WEIGHT
-    kept = sorted((t for t, n in picked.items() if n / (n + other.get(t, 0)) >= PRECISION), key=lambda t: (-picked[t], t))
-    for t in kept[:MAX_TERMS]:
-        lexicon.setdefault(t, _odds(picked[t], other.get(t, 0), n_toxic, n_clean))
+    # Folded terms first: what is found by them needs no term as written.
+    for t in sorted((t for t, n in picked.items() if n / (n + other.get(t, 0)) >= PRECISION), key=lambda t: (t.startswith(EXACT), t)):
+        if not (t.startswith(EXACT) and fold(t.removeprefix(EXACT)) in lexicon):
+            lexicon.setdefault(t, _odds(picked[t], other.get(t, 0), n_toxic, n_clean))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(lexicon, exceptions)
@@ -212,7 +235,7 @@ def fit(docs: DataFrame, train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD, exceptions=EXCEPTIONS) -> DataFrame:
     """The columns of docs (which has text), then score, n_hits and predicted. No column but text is read."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # MAX_TERMS terms at most
+    held = spark.sparkContext.broadcast(model)  # words of MAX_TOXIC documents
 
     @F.pandas_udf("struct<score:double,n_hits:long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -234,8 +257,9 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id and label of the documents that may be learned from; no text is moved for it."""
-    own = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1)).dropDuplicates(["doc_id"])
+    """doc_id and label of the documents that may be learned from, without those that have labels of both kinds; no text is moved for it."""
+    each = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1))
+    own = each.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("_most")).where(F.col(label) == F.col("_most")).drop("_most")
     return docs.select("doc_id").where(~held_out()).distinct().join(own, "doc_id")
 
 

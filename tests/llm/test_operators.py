@@ -255,6 +255,29 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_words_with_marks_are_told_apart():
+    m = toxicity.Matcher({toxicity.EXACT + "réeux": 2.0, "scum": 3.0})
+    assert [h[2] for h in m.hits("Un RÉEUX ici, pas rêeux ni rèeux")] == [2.0] and m.hits("reeux") == []
+    assert [h[2] for h in m.hits("ѕcum é")] == [3.0] and toxicity.terms_of("Été 4all") == {"ete", "=été", "aall"}
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 0), (3, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "") for i in range(1, 40)], "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.labelled(docs, labels, "toxic").collect()}
+    assert got == {i: t for i, t in {2: 1, 3: 0}.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
+def test_toxicity_held_out_of_the_given_labels(spark):
+    """Of the held-out documents that the given labels call toxic 0.9 are found on sf0.1, where the words of all languages can be learned."""
+    data = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").select("toxic", "predicted").collect()
+    toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean), (sum(toxic), len(toxic), sum(clean), len(clean))
+
+
 def test_unrelated_documents_teach_apart_and_copies_once(spark):
     rng = random.Random(14)
     word = lambda: "".join(rng.choice("aeounrst") for _ in range(8))
