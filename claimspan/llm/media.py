@@ -1,7 +1,7 @@
 """Media columns: texts as 8-bit audio, and log-mel features of it in fixed-shape tensors.
 
 A text's UTF-8 bytes, padded with spaces to a positive multiple of FRAME_BYTES, are the samples of an 8-bit mono PCM WAVE file at
-RATE. The samples are read back from the file's data chunk; features are computed from what was read:
+RATE. The files are stored as a column of a table in the shared folder and read from there; features are computed from the samples of the file's data chunk:
 - polyphase resampling by UP / DOWN with a windowed-sinc low-pass filter, a branch of it for each output phase;
 - log energies of MELS triangular mel bands of Hann-windowed spectra of WINDOW samples every HOP samples;
 - segments of energy by hysteresis: a segment opens where a frame's level rises above HIGH and closes where it falls below LOW, both in
@@ -29,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 FRAME_BYTES = 192
 RATE = 8000
-UP, DOWN = 1, 2
+UP, DOWN = 3, 4
 TAPS = 12
 WINDOW, HOP = 256, 128
 MELS = 16
 FRAMES = 32
 HIGH, LOW = 0.5, -0.5
 BLOCK = 1 << 12
+#: Documents that are in Python at a time.
+SLICE = 64
 _OUT_RATE = RATE * UP // DOWN
 
 
@@ -163,33 +167,45 @@ def describe(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
     return f"frames={len(mel)};mel={','.join(map(str, mean))};segments={len(spans)};seconds={sum(b - a for a, b in spans):.3f}"
 
 
-_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, spans array<struct<start:double,end:double>>, tensors binary"
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media: the WAVE file of each document (doc_id, text), written to the shared folder and read from there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                part = batch.slice(lo, SLICE)
+                made = [payload_of(text.as_py()) for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for _, n in made], pa.int64()), pa.array([to_wave(payload) for payload, _ in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return materialise(texts.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def audio_features(docs: DataFrame, outputs: bool = True) -> DataFrame:
-    """The digests of stored media and their features; with `outputs` also media (the WAVE file), tensors (an Arrow stream) and spans."""
-    more = ", media binary, tensors binary, spans array<struct<start:double,end:double>>" if outputs else ""
+def audio_features(docs: DataFrame, media: bool = False) -> DataFrame:
+    """The digests of the stored media, their features, spans of energy and tensors (an Arrow stream of fixed-shape tensors, each with its time span); with `media`
+    also the stored file."""
+    more = ", media binary" if media else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 64 if outputs else 1024):
-                part = batch.slice(lo, 64 if outputs else 1024)
-                rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
-                    payload, n = payload_of(text.as_py())
-                    media = to_wave(payload)
-                    back = from_wave(media)
-                    mel = log_mel(resample(np.frombuffer(back, np.uint8)))
-                    blob = tensors(mel)
+            for lo in range(0, len(batch), SLICE):
+                part, rows = batch.slice(lo, SLICE), []
+                for doc_id, n, stored in zip(part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), part.column("media")):
+                    stored = stored.as_py()
+                    back = from_wave(stored)
+                    blob = tensors(log_mel(resample(np.frombuffer(back, np.uint8))))
                     held, _, end = read_tensors(blob)
                     mel = held.reshape(-1, MELS)[: round(end[-1] * _OUT_RATE / HOP)]
                     spans = segments(mel)
-                    row = {"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": describe(mel, spans)}
-                    rows.append(row | ({"media": media, "tensors": blob, "spans": [{"start": a, "end": b} for a, b in spans]} if outputs else {}))
+                    row = {"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-16:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": describe(mel, spans)}
+                    rows.append(row | {"spans": [{"start": a, "end": b} for a, b in spans], "tensors": blob} | ({"media": stored} if media else {}))
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(_SCHEMA + more))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA + more)
+    return store_media(docs).mapInArrow(run, _SCHEMA + more)

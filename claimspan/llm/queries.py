@@ -75,7 +75,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9.audio_features(table(spark, sf_dir, "documents", "doc_id", "text"), outputs=False)
+    return op9.audio_features(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import io
 import random
 import re
+import wave
 import zlib
 from collections import Counter
 
@@ -546,13 +548,36 @@ def test_wave_and_tensors_round_trip():
 
 
 def test_resampling_against_direct_filtering():
+    """Zeros between the samples, one long filter, and every DOWN-th value of what comes out."""
     x = np.random.default_rng(1).integers(0, 256, 3 * media.BLOCK + 77).astype(np.uint8)
     y = media.resample(x)
-    h = media._FILTER[0][::-1]
-    half = len(h) // 2
-    xx = np.concatenate([np.zeros(half), (x.astype(float) - 128) / 128, np.zeros(len(h))])
-    want = np.array([xx[2 * m : 2 * m + len(h)] @ h for m in range(len(y))])
-    assert np.abs(want - y).max() < 1e-5
+    assert media.UP > 1 and media._FILTER.shape[0] == media.UP
+    h = media._FILTER.T.ravel().astype(float)
+    wide = np.zeros(len(x) * media.UP)
+    wide[:: media.UP] = (x.astype(float) - 128) / 128
+    middle = media.TAPS * max(media.UP, media.DOWN)
+    want = np.convolve(wide, h)[middle :: media.DOWN][: len(y)]
+    assert len(y) == -(-len(x) * media.UP // media.DOWN) and np.abs(want - y).max() < 1e-5
+
+
+def test_media_against_the_text(spark):
+    docs = [(1, None), (2, ""), (3, "é" * 500), (4, "plain text " * 300), (5, "plain text " * 300), (None, "x")]
+    got = media.audio_features(frame(spark, docs), media=True).collect()
+    texts = {i: (t or "").encode() for i, t in docs}
+    assert len(got) == len(docs)
+    for r in got:
+        raw = texts[r["doc_id"]]
+        payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        with wave.open(io.BytesIO(r["media"])) as w:
+            assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
+        mel = media.log_mel(media.resample(np.frombuffer(payload, np.uint8)))
+        held, start, end = media.read_tensors(r["tensors"])
+        assert np.array_equal(held.reshape(-1, media.MELS)[: len(mel)], mel) and start[0] == 0 and len(start) == -(-len(mel) // media.FRAMES)
+        assert r["feature"] == media.describe(mel, media.segments(mel)) and [(x["start"], x["end"]) for x in r["spans"]] == media.segments(mel)
+    same = [r.asDict() | {"doc_id": 0} for r in got if r["doc_id"] in (4, 5)]
+    assert same[0] == same[1]
 
 
 def test_hysteresis():
