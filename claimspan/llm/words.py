@@ -34,6 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: Another value for each byte: hashes that have nothing to do with those of _TABLE.
+_OTHER = mix(_TABLE ^ U64(0xA0761D6478BD642F))
 _BASE = 0xD6E8FEB86659FD93
 _power = np.ones(1, U64)
 
@@ -70,10 +72,14 @@ class Words:
         self.offset = np.searchsorted(self.start, bounds)
         self.hash = self._hash(fold, counted) if hashes else None
 
-    def _hash(self, fold: np.ndarray, counted: np.ndarray | None) -> np.ndarray:
+    def other(self) -> np.ndarray:
+        """A second hash of every word, independent of the first."""
+        return self._hash(SAME, None, _OTHER)
+
+    def _hash(self, fold: np.ndarray, counted: np.ndarray | None, table: np.ndarray = _TABLE) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, U64)
-        table = _TABLE[fold]
+        table = table[fold]
         table[IS_WS] = 0
         first, last = self.start[0], len(self.buf)
         gaps = np.diff(np.append(self.start, last))
@@ -97,14 +103,15 @@ class Words:
         """The document of each word, counted from 0."""
         return np.repeat(np.arange(len(self)), np.diff(self.offset))
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all n-word windows that lie in one document, and the index of each window's first word."""
-        m = len(self.hash) - n + 1
+    def grams(self, n: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all n-word windows that lie in one document, from the hashes of the words, and the index of each window's first word."""
+        own = self.hash if hashes is None else hashes
+        m = len(own) - n + 1
         if m <= 0:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         value = np.zeros(m, U64)
         for k in range(n):
-            value += self.hash[k : k + m] * powers(n + 1)[k + 1]
+            value += own[k : k + m] * powers(n + 1)[k + 1]
         doc = self.doc_of_word()
         at = np.flatnonzero(doc[:m] == doc[n - 1 :])
         return mix(value[at]), at

@@ -616,3 +616,23 @@ def test_substring_against_brute_force(spark):
             r = got[i]
             assert (r["n_words"], r["n_removed"], r["kept_text"], r["kept_sha256"]) == (len(w), len(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
             assert {p for s in r["spans"] for p in range(s["start"], s["end"])} == gone
+            # Every factor stands word for word at its place in a document with a smaller id, which is the smallest for its first phrase.
+            assert {p for f in r["factors"] for p in range(f["start"], f["end"])} == gone
+            for f in r["factors"]:
+                source = WORD.findall(dict(docs)[f["source"]])
+                assert w[f["start"] : f["end"]] == source[f["source_start"] : f["source_start"] + f["end"] - f["start"]] and f["end"] - f["start"] >= window
+                assert f["source"] == low[tuple(w[f["start"] : f["start"] + window])] < i
+
+
+def test_phrases_that_clash_are_told_apart(spark, monkeypatch):
+    """Two phrases with one first hash: the second hash keeps the words."""
+    real = words.Words.grams
+    table = pa.table({"chunk": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "text": ["a b c d", "e f g h"]})
+    monkeypatch.setattr(words.Words, "grams", lambda w, n, hashes=None: real(w, n, hashes) if hashes is not None else (real(w, n)[0] & np.uint64(0), real(w, n)[1]))
+    c = substring_dedup._Chunk(table, 3, 2)
+    known = c.phrases(c.anchors().hashes)
+    assert len(known.hashes) == 1 and known.ids[0] == 1
+    asked = substring_dedup._requests(0, known, 1)
+    other = asked.set_column(5, "checks", pa.array([(known.checks + np.uint64(1)).tobytes()], pa.binary())).set_column(3, "ids", pa.array([np.array([9], np.int64).tobytes()], pa.binary())).set_column(1, "chunk", pa.array([1], pa.int32()))
+    said = substring_dedup._index(2)(pa.concat_tables([asked, other]))
+    assert [b[0] for b in said["bits"].to_pylist()] == [0, 0]
