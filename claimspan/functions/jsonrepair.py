@@ -9,9 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Passes that put in missing commas; each mends every second of a run of gaps.
-COMMA_PASSES = 3
-
 
 def outermost_object(c: Column) -> Column:
     """From the first { to the last }; null if there is none."""
@@ -26,10 +23,8 @@ def sanitise(c: Column) -> Column:
 
 def insert_commas(c: Column) -> Column:
     """A comma between two values that only a line break parts."""
-    for _ in range(COMMA_PASSES):
-        # Fixed value: what may end a value here is any of these characters.
-        c = F.regexp_replace(c, r'(["0-9\]}truefalsn\x08])(\s*\n\s*)(["\[{])', "$1,$2$3")
-    return c
+    # Fixed value: what may end a value here is any of these characters. What follows a gap is only looked at, so one pass mends every gap of a run.
+    return F.regexp_replace(c, r'(["0-9\]}truefalsn\x08])(\s*\n\s*)(?=["\[{])', "$1,$2")
 
 
 @F.pandas_udf(T.StringType())

@@ -25,29 +25,46 @@ def technique_key(mitre_id: Column, tactic: Column, technique: Column) -> Column
     return F.struct(F.when(named, "id").otherwise("pair").alias("type"), F.when(named, bare).otherwise(pair).alias("value"))
 
 
-def flatten(docs: DataFrame, doc: str = "doc", keep_empty: bool = True) -> DataFrame:
+def flatten(docs: DataFrame, doc: str = "doc", keep_empty: bool = True, subject: bool = False) -> DataFrame:
     """All claims of documents (the columns of docs but `doc`, then kind, type, list, pos, value, snippet), repeats included.
 
-    One pass over the documents: the lists become one array that is exploded. keep_empty: False drops indicators whose value is blank."""
+    One pass over the documents: the lists become one array that is exploded. keep_empty: False drops indicators whose value is blank. subject: True adds
+    what a question about the claim names: an indicator as it is stored, or a technique's id, name and tactic."""
     d = F.col(doc)
-    none = F.array().cast("array<struct<type:string,list:string,pos:int,value:string,snippet:string,kind:string>>")
+    more = ",subject:string" if subject else ""
+    none = F.array().cast(f"array<struct<type:string,list:string,pos:int,value:string,snippet:string,kind:string{more}>>")
 
     def indicators(name: str, kind: str, field: str) -> Column:
         def one(item: Column, i: Column) -> Column:
-            return F.struct(F.lit(kind).alias("type"), F.lit(name).alias("list"), i.alias("pos"), claim_value(F.lit(kind), item[field]).alias("value"), item["evidence_snippet"].alias("snippet"), F.lit("ioc").alias("kind"))
+            return F.struct(F.lit(kind).alias("type"), F.lit(name).alias("list"), i.alias("pos"), claim_value(F.lit(kind), item[field]).alias("value"), item["evidence_snippet"].alias("snippet"), F.lit("ioc").alias("kind"), *([item[field].alias("subject")] if subject else []))
 
         return F.coalesce(F.transform(d["indicators_of_compromise"][name], one), none)
 
     def technique(item: Column, i: Column) -> Column:
         key = technique_key(item["mitre_id"], item["tactic"], item["technique"])
-        return F.struct(key["type"].alias("type"), F.lit("ttps").alias("list"), i.alias("pos"), key["value"].alias("value"), item["evidence_snippet"].alias("snippet"), F.lit("ttp").alias("kind"))
+        named = F.format_string("%s (%s) for the tactic %s", F.coalesce(item["mitre_id"], item["technique"]), item["technique"], F.coalesce(item["tactic"], F.lit("that is not named")))
+        return F.struct(key["type"].alias("type"), F.lit("ttps").alias("list"), i.alias("pos"), key["value"].alias("value"), item["evidence_snippet"].alias("snippet"), F.lit("ttp").alias("kind"), *([named.alias("subject")] if subject else []))
 
     every = F.concat(*(indicators(name, kind, field) for name, (kind, field) in INDICATORS.items()), F.coalesce(F.transform(d["ttps"], technique), none))
     rest = [c for c in docs.columns if c != doc]
-    out = docs.select(*rest, F.explode(every).alias("_c")).select(*rest, "_c.kind", "_c.type", "_c.list", "_c.pos", "_c.value", "_c.snippet")
+    out = docs.select(*rest, F.explode(every).alias("_c")).select(*rest, "_c.kind", "_c.type", "_c.list", "_c.pos", "_c.value", "_c.snippet", *(["_c.subject"] if subject else []))
     return out if keep_empty else out.where((F.col("kind") == "ttp") | (F.col("value") != ""))
 
 
+def keys(doc: Column) -> Column:
+    """struct<ioc, ttp>: the distinct claims of a document of each kind, as arrays of type and value in one string; equal strings are equal claims."""
+    none = F.array().cast("array<string>")
+
+    def indicators(name: str, kind: str, field: str) -> Column:
+        return F.coalesce(F.transform(doc["indicators_of_compromise"][name], lambda i: F.concat(F.lit(f"{kind}\x1e"), claim_value(F.lit(kind), i[field]))), none)
+
+    def technique(item: Column) -> Column:
+        key = technique_key(item["mitre_id"], item["tactic"], item["technique"])
+        return F.concat_ws("\x1e", key["type"], key["value"])
+
+    return F.struct(F.array_distinct(F.concat(*(indicators(name, kind, field) for name, (kind, field) in INDICATORS.items()))).alias("ioc"), F.array_distinct(F.coalesce(F.transform(doc["ttps"], technique), none)).alias("ttp"))
+
+
 def distinct_claims(claims: DataFrame, *by: str) -> DataFrame:
     return claims.select(*by, *KEY).distinct()
 

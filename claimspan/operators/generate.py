@@ -73,10 +73,12 @@ def repair_prompt(broken: Column) -> Column:
     return F.concat(F.lit("Return this as one valid JSON object.\n\n"), F.substring(broken, 1, REPAIR_CHARS))
 
 
-def v0(reports: DataFrame, backend=Stub) -> DataFrame:
-    """doc_id, doc: free text read line by line."""
-    raw = generate(reports.select("doc_id", "text"), free_text_prompt(F.col("text")), "free_text", backend).select("doc_id", F.coalesce("answer", F.lit("")).alias("text"))
-    return documents.from_freetext(freetext.indicators(raw), freetext.techniques(raw), freetext.summary(freetext.lines(raw)), raw)
+def v0(reports: DataFrame, backend=Stub) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc; sentinels): free text read line by line; a report that the model gave nothing for is a sentinel."""
+    raw = generate(reports.select("doc_id", "text"), free_text_prompt(F.col("text")), "free_text", backend).select("doc_id", F.col("answer").alias("text"), "error")
+    given = raw.where("text is not null").select("doc_id", "text")
+    docs = documents.from_freetext(freetext.indicators(given), freetext.techniques(given), freetext.summary(freetext.lines(given)), given)
+    return docs, documents.sentinels(raw.where("text is null").select("doc_id", F.coalesce("error", F.lit("no answer")).alias("error")))
 
 
 def v1(reports: DataFrame, backend=Stub) -> tuple[DataFrame, DataFrame]:
@@ -90,17 +92,25 @@ def v1(reports: DataFrame, backend=Stub) -> tuple[DataFrame, DataFrame]:
     return ok.select("doc_id", "doc"), documents.sentinels(bad.select("doc_id", why.alias("error")))
 
 
-def v2(extracted: DataFrame, reports: DataFrame, **options) -> DataFrame:
-    """Claims of v1's documents that their reports support; options as in grounding.ground."""
-    return grounding.ground(claims.flatten(extracted), reports, **options)
+def v2(extracted: DataFrame, reports: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc; judged claims): v1's documents with only the items that their reports support; options as in grounding.ground."""
+    judged = grounding.ground(claims.flatten(extracted), reports, **options)
+    docs, _ = documents.without(extracted, judged.where(~F.col("kept")))
+    return docs, judged
 
 
-def v3(extracted: DataFrame, reports: DataFrame, backend=Stub) -> tuple[DataFrame, DataFrame]:
-    """(claims, answers): v1's claims without those that a question of their own rejects. v1's output is read, not made again."""
-    every = claims.flatten(extracted)
-    asked = verify.questions(every).join(reports.select("doc_id", "text"), "doc_id")
-    answers = generate(asked, verify_prompt(F.col("question"), F.col("text")), "verify", backend).drop("text").withColumn("supported", verify.supported(F.col("answer")))
-    return verify.delete(every, answers.where(~F.col("supported"))), answers
+def v3(extracted: DataFrame, reports: DataFrame, backend=Stub) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, doc; answers; steps): v1's documents without the items that a question of their own rejects. v1's output is read, not made again.
+
+    A question that the model gave no answer to rejects nothing; its error is in `answers`."""
+    every = claims.flatten(extracted, subject=True)
+    # The question is joined with the part of the report that its prompt holds, not with all of it.
+    asked = verify.questions(every).join(reports.select("doc_id", truncate(F.col("text"), CHARS_JSON).alias("text")), "doc_id", "left")
+    answers = generate(asked, verify_prompt(F.col("question"), F.coalesce("text", F.lit(""))), "verify", backend).drop("text")
+    answers = answers.withColumn("supported", F.when(F.col("answer").isNotNull(), verify.supported(F.col("answer"))))
+    gone = verify.deleted(every, answers.where(~F.col("supported")))
+    docs, fallback = documents.without(extracted, gone)
+    return docs, answers, verify.steps(every, answers, gone, fallback)
 
 
 #: The variants by name.

@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 # Which variants are compared, and the words for effect sizes.
 COMPARISONS = (("v0", "v1"), ("v1", "v2"), ("v2", "v3"), ("v0", "v3"))
 LARGE, MEDIUM = 0.5, 0.3
-#: Largest number of pairs, zeros included, that is tested by the exact distribution (`auto`).
+#: Largest number of pairs, zeros included, that is tested by the exact distribution (`auto`) whatever the differences.
 EXACT_UP_TO = 13
-#: Largest number of differences whose exact distribution is worked out (`exact`); beyond it the normal approximation holds.
+#: Largest number of differences whose exact distribution is worked out (`exact`, and `auto` without zeros and ties); beyond it the normal approximation
+#: holds, and the result says so.
 EXACT_LIMIT = 50
+#: Fixed value: the mean alpha from which annotations count as reliable.
+RELIABLE = 0.67
 
 
 def paired(scores: DataFrame, comparisons=COMPARISONS, column: str = "f1", by: str = "kind") -> DataFrame:
@@ -29,7 +32,7 @@ def paired(scores: DataFrame, comparisons=COMPARISONS, column: str = "f1", by: s
 
 
 def signed_ranks(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", digits: int = 10) -> DataFrame:
-    """by, n, n_used, w_plus, w_minus, total, squares, mean_a, mean_b, ranks: sums over the mid-ranks of the differences that are not 0, and,
+    """by, n, n_used, w_plus, w_minus, total, squares, mean_a, mean_b, tied, ranks: sums over the mid-ranks of the differences that are not 0, and,
     for up to EXACT_LIMIT of them, the ranks themselves, doubled and so whole.
 
     Equal differences are counted first, so the window that ranks them sorts distinct values, however many pairs a group has."""
@@ -39,12 +42,12 @@ def signed_ranks(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", di
     ranked = size.withColumn("_r", 2 * before + F.col("_n") + 1)
     sums = ranked.groupBy(*by).agg(
         F.sum("_n").alias("n_used"), (F.sum(F.col("_p") * F.col("_r")) / 2).alias("_plus"), (F.sum((F.col("_n") - F.col("_p")) * F.col("_r")) / 2).alias("_minus"),
-        (F.sum(F.col("_n") * F.col("_r")) / 2).alias("_t"), (F.sum(F.col("_n") * F.col("_r") * F.col("_r")) / 4).alias("_s"), F.array_sort(F.collect_list(F.struct("_r", "_n"))).alias("_l"),
+        (F.sum(F.col("_n") * F.col("_r")) / 2).alias("_t"), (F.sum(F.col("_n") * F.col("_r") * F.col("_r")) / 4).alias("_s"), F.max("_n").alias("_most"), F.array_sort(F.collect_list(F.struct("_r", "_n"))).alias("_l"),
     )
     whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
     ranks = F.when(F.col("n_used") <= EXACT_LIMIT, F.flatten(F.transform("_l", lambda x: F.array_repeat(x["_r"], x["_n"].cast("int"))))).otherwise(F.array().cast("array<bigint>"))
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
-    return whole.join(sums, by, "left").select(*by, "n", F.coalesce("n_used", F.lit(0)).alias("n_used"), zero("_plus", "w_plus"), zero("_minus", "w_minus"), zero("_t", "total"), zero("_s", "squares"), "mean_a", "mean_b", F.coalesce(ranks, F.array().cast("array<bigint>")).alias("ranks"))
+    return whole.join(sums, by, "left").select(*by, "n", F.coalesce("n_used", F.lit(0)).alias("n_used"), zero("_plus", "w_plus"), zero("_minus", "w_minus"), zero("_t", "total"), zero("_s", "squares"), "mean_a", "mean_b", F.coalesce(F.col("_most") > 1, F.lit(False)).alias("tied"), F.coalesce(ranks, F.array().cast("array<bigint>")).alias("ranks"))
 
 
 def exact_p(ranks: Column, statistic: Column) -> Column:
@@ -73,15 +76,15 @@ def effect_size(n: Column, statistic: Column) -> Column:
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], method: str = "auto", alpha: float = 0.05) -> DataFrame:
-    """The paired test in each group: n, statistic, p_value, significant, effect_size_r, effect_label, direction (a, b)."""
+    """The paired test in each group: n, statistic, p_value, method (exact, normal or none), significant, effect_size_r, effect_label, direction (a, b)."""
     s = signed_ranks(pairs, by).withColumn("_w", F.least("w_plus", "w_minus"))
     exact, normal = exact_p(F.col("ranks"), F.col("_w")), normal_p(F.when(F.col("n_used") > 0, z_score(F.col("_w"), F.col("total"), F.col("squares"))))
-    use = {"exact": F.col("n_used") <= EXACT_LIMIT, "normal": F.lit(False), "auto": F.col("n") <= EXACT_UP_TO}[method]
+    use = {"exact": F.col("n_used") <= EXACT_LIMIT, "normal": F.lit(False), "auto": (F.col("n") <= EXACT_UP_TO) | ~F.col("tied") & (F.col("n") == F.col("n_used")) & (F.col("n") <= EXACT_LIMIT)}[method]
     none = F.col("n_used") == 0
     s = s.withColumn("p_value", F.when(none, 1.0).when(use, exact).otherwise(normal))
     r = F.when(none, 0.0).otherwise(effect_size(F.col("n"), F.col("_w")))
     label = F.when(none, "none").when(F.abs(r) >= LARGE, "large").when(F.abs(r) >= MEDIUM, "medium").otherwise("small")
-    return s.select(*by, "n", F.when(~none, F.col("_w")).alias("statistic"), "p_value", (F.col("p_value") < alpha).alias("significant"), r.alias("effect_size_r"), label.alias("effect_label"), F.when(F.col("mean_a") > F.col("mean_b"), "a > b").otherwise("b > a").alias("direction"))
+    return s.select(*by, "n", F.when(~none, F.col("_w")).alias("statistic"), "p_value", F.when(none, "none").when(use, "exact").otherwise("normal").alias("method"), (F.col("p_value") < alpha).alias("significant"), r.alias("effect_size_r"), label.alias("effect_label"), F.when(F.col("mean_a") > F.col("mean_b"), "a > b").otherwise("b > a").alias("direction"))
 
 
 def agreement(a: DataFrame, b: DataFrame, digits: int = 4) -> DataFrame:
@@ -104,3 +107,9 @@ def nominal_alpha(units: DataFrame, by: list[str], unit: str = "pos", value: str
     expected = of_value.groupBy(*by).agg(F.sum("_c").alias("_t"), F.sum(F.col("_c") * F.col("_c")).alias("_s"))
     e = (F.col("_t") * F.col("_t") - F.col("_s")) / (F.col("_t") - 1)
     return observed.join(expected, by).select(*by, F.when(F.col("_s") == F.col("_t") * F.col("_t"), 1.0).otherwise(1 - F.col("_o") / e).alias("alpha"))
+
+
+def mean_alpha(alphas: DataFrame, least: float = RELIABLE, digits: int = 4) -> DataFrame:
+    """mean_alpha over the documents that have one, n, and whether it reaches `least`; one row. alphas: alpha."""
+    mean = F.avg("alpha")
+    return alphas.agg(F.round(mean, digits).alias("mean_alpha"), F.count("alpha").alias("n"), F.coalesce(mean >= least, F.lit(False)).alias("acceptable"))

@@ -16,7 +16,7 @@ TEMPLATES = {
     "url": "Does the report say that the attackers used the URL %s?",
     "cve": "Does the report say that %s was exploited in this activity?",
     "tool": "Did the attackers use %s according to the report?",
-    "ttp": "Does the report describe the technique %s?",
+    "ttp": "Does the report say that the attackers used the technique %s, and for that tactic?",
 }
 # What in an answer says yes, and what takes it back.
 _YES, _NO = "yes|true|found|present|mentions|explicitly", "not found|not present|not explicitly"
@@ -33,9 +33,12 @@ def question(kind: Column, subject: Column, templates: dict[str, str] = TEMPLATE
 def questions(claims: DataFrame, most: int = MAX_QUESTIONS, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n, type, list, pos, value, question: the first `most` different questions of each document, in order of type and position.
 
-    Repeated questions go by an aggregation, so the window sorts only what is different in one document."""
+    All techniques are of type `ttp` here. A question is about a claim's subject (claims.flatten with subject=True), or else about its value. Repeated questions go
+    by an aggregation, so the window sorts only what is different in one document."""
+    kind = F.when(F.col("kind") == "ttp", "ttp").otherwise(F.col("type")) if "kind" in claims.columns else F.col("type")
+    subject = F.col("subject") if "subject" in claims.columns else F.translate("value", "\x1f", " ")
     rank = F.array_position(F.array(*(F.lit(k) for k in ORDER)), F.col("type"))
-    asked = claims.withColumns({"question": question(F.col("type"), F.col("value"), templates), "_o": rank}).where(F.col("question").isNotNull() & (F.col("_o") > 0))
+    asked = claims.withColumn("type", kind).withColumns({"question": question(F.col("type"), subject, templates), "_o": rank}).where(F.col("question").isNotNull() & (F.col("_o") > 0))
     first = asked.groupBy("doc_id", "question").agg(F.min(F.struct("_o", "pos", "type", "list", "value")).alias("_f"))
     order = Window.partitionBy("doc_id").orderBy("_f")
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("doc_id", "n", "_f.type", "_f.list", "_f.pos", "_f.value", "question")
@@ -62,7 +65,7 @@ def deleted(claims: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def totals(answers: DataFrame) -> DataFrame:
-    """doc_id, n_questions, n_supported, n_not_supported."""
+    """doc_id, n_questions, n_supported, n_not_supported; a question without an answer is neither."""
     return answers.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if("supported").alias("n_supported"), F.count_if(~F.col("supported")).alias("n_not_supported"))
 
 
@@ -72,7 +75,23 @@ def claim_counts(claims: DataFrame) -> DataFrame:
 
 
 def log(answers: DataFrame) -> DataFrame:
-    """doc_id and the numbered questions with their verdicts as one text; answers: doc_id, n, question, supported, answer."""
-    verdict = F.when(F.col("supported"), "SUPPORTED").otherwise("NOT SUPPORTED")
+    """doc_id and the numbered questions with their verdicts as one text; answers: doc_id, n, question, supported (null: no answer), answer."""
+    verdict = F.when(F.col("supported"), "SUPPORTED").when(~F.col("supported"), "NOT SUPPORTED").otherwise("NO ANSWER")
     line = F.format_string("%d. [%s] Q: %s\n   A: %s", F.col("n"), verdict, F.col("question"), F.coalesce("answer", F.lit("")))
     return answers.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), "\n").alias("qa_pairs"))
+
+
+def steps(before: DataFrame, answers: DataFrame, gone: DataFrame, fallback: DataFrame) -> DataFrame:
+    """A row for each document of `before` (doc_id, kind, type, ...: its claims): the counts of claims before and after, the questions with their totals, and the
+    claims that deletion took away; fallback: doc_id of documents whose deletion was undone, which keep all claims."""
+    counted = claim_counts(before).withColumnsRenamed({"n_iocs": "n_iocs_before", "n_ttps": "n_ttps_before"})
+    taken = gone.join(fallback.select("doc_id").distinct(), "doc_id", "left_anti")
+    item = F.struct("list", "pos", "value")
+    lost = taken.groupBy("doc_id").agg(F.count_if((F.col("kind") == "ioc") & (F.col("type") != "path")).alias("_i"), F.count_if(F.col("kind") == "ttp").alias("_t"), F.array_sort(F.collect_list(item)).alias("deleted_items"))
+    rows = counted.join(totals(answers), "doc_id", "left").join(log(answers), "doc_id", "left").join(lost, "doc_id", "left").join(fallback.select("doc_id", F.lit(True).alias("fallback")).distinct(), "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select(
+        "doc_id", "n_iocs_before", "n_ttps_before", *(zero(c).alias(c) for c in ("n_questions", "n_supported", "n_not_supported")), "qa_pairs",
+        F.col("deleted_items").isNotNull().alias("changed"), F.coalesce("fallback", F.lit(False)).alias("fallback"),
+        (F.col("n_iocs_before") - zero("_i")).alias("n_iocs_after"), (F.col("n_ttps_before") - zero("_t")).alias("n_ttps_after"), "deleted_items",
+    )

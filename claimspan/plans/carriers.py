@@ -34,7 +34,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(items: DataFrame, *by: str) -> DataFrame:
     """by, doc: a document of the line items of each group: a tool, a CVE id and a technique for each."""
-    snippet = F.when(F.col("l_tax") < 0.02, "").otherwise(F.concat(F.lit("line "), F.col("l_linenumber"), F.lit(" of flag "), F.col("l_returnflag")))
+    snippet = F.when(F.col("l_tax") < 0.01, "").when(F.col("l_tax") < 0.02, "\t\n").otherwise(F.concat(F.lit("line "), F.col("l_linenumber"), F.lit(" of flag "), F.col("l_returnflag")))
     item = F.struct(
         "l_linenumber", F.concat(F.lit("  Part-"), F.col("l_partkey"), F.lit("\t")).alias("tool"), F.concat(F.lit("cve-2024-"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0")).alias("cve"),
         F.concat(F.lit("t"), 1000 + F.col("l_partkey") % 50, F.lit("."), F.col("l_linenumber")).alias("id"), snippet.alias("snippet"), "l_partkey", "l_suppkey",
@@ -73,10 +73,10 @@ sys AS (SELECT variant, li.* FROM li JOIN outs USING (doc_id) WHERE CASE variant
         WHEN 'v2' THEN l_quantity < 10 ELSE l_tax <= 0.05 END),
 gold AS (SELECT * FROM li WHERE l_quantity < 26),
 parts AS (SELECT * FROM (VALUES ('ioc', 'tool', 'tools'), ('ioc', 'cve', 'cves'), ('ttp', 'id', 'ttps')) t(kind, type, list)),
-sys_claims AS (SELECT variant, doc_id, kind, type, list, row_number() OVER (PARTITION BY variant, doc_id, type ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_suppkey, l_tax >= 0.02, l_returnflag) - 1 AS pos,
+sys_claims AS (SELECT variant, doc_id, kind, type, list, row_number() OVER (PARTITION BY variant, doc_id, type ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_suppkey, CASE WHEN l_tax < 0.01 THEN 0 WHEN l_tax < 0.02 THEN 1 ELSE 2 END, l_returnflag) - 1 AS pos,
         CASE type WHEN 'tool' THEN 'part-' || l_partkey WHEN 'cve' THEN 'CVE-2024-' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0')
              ELSE 'T' || (1000 + l_partkey % 50) || '.' || l_linenumber END AS value,
-        CASE WHEN l_tax < 0.02 THEN '' ELSE 'line ' || l_linenumber || ' of flag ' || l_returnflag END AS snippet FROM sys, parts),
+        CASE WHEN l_tax < 0.01 THEN '' WHEN l_tax < 0.02 THEN chr(9) || chr(10) ELSE 'line ' || l_linenumber || ' of flag ' || l_returnflag END AS snippet FROM sys, parts),
 gold_claims AS (SELECT DISTINCT doc_id, kind, type, CASE type WHEN 'tool' THEN 'part-' || l_partkey WHEN 'cve' THEN 'CVE-2024-' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0')
              ELSE 'T' || (1000 + l_partkey % 50) || '.' || l_linenumber END AS value FROM gold, parts),
 counted AS (SELECT variant, doc_id, kind, coalesce(s.n, 0) AS n_system, coalesce(g.n, 0) AS n_gold, coalesce(b.n, 0) AS n_both

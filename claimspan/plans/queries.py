@@ -46,9 +46,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    system = C.flatten(K.system_documents(spark, sf_dir))
-    gold = C.flatten(K.gold_documents(spark, sf_dir))
-    return A.counts(system, gold, K.outputs(spark, sf_dir), ["ioc", "ttp"])
+    return A.count_documents(K.system_documents(spark, sf_dir), K.gold_documents(spark, sf_dir), K.outputs(spark, sf_dir), ["ioc", "ttp"])
 
 
 # ---- claims and sets
@@ -59,19 +57,25 @@ def claims_flatten(spark, sf_dir):
     return C.flatten(K.system_documents(spark, sf_dir))
 
 
-@query(_with("SELECT DISTINCT s.doc_id, s.kind, s.type, s.value FROM sys_claims s SEMI JOIN gold_claims g USING (doc_id, kind, type, value) WHERE variant = 'v1'"))
+def _either_side(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The claims of all variants, and those of gold once for each variant."""
+    gold = C.flatten(K.gold_documents(spark, sf_dir))
+    return C.flatten(K.system_documents(spark, sf_dir)), gold.withColumn("variant", F.explode(F.array(*(F.lit(v) for v in K.VARIANTS))))
+
+
+@query(_with("SELECT DISTINCT s.variant, s.doc_id, s.kind, s.type, s.value FROM sys_claims s SEMI JOIN gold_claims g USING (doc_id, kind, type, value)"))
 def claim_intersect(spark, sf_dir):
-    return C.intersect(C.flatten(K.system_documents(spark, sf_dir).where("variant = 'v1'")), C.flatten(K.gold_documents(spark, sf_dir)), "doc_id")
+    return C.intersect(*_either_side(spark, sf_dir), "variant", "doc_id")
 
 
-@query(_with("SELECT DISTINCT s.doc_id, s.kind, s.type, s.value FROM sys_claims s ANTI JOIN gold_claims g USING (doc_id, kind, type, value) WHERE variant = 'v1'"))
+@query(_with("SELECT DISTINCT s.variant, s.doc_id, s.kind, s.type, s.value FROM sys_claims s ANTI JOIN gold_claims g USING (doc_id, kind, type, value)"))
 def claim_except(spark, sf_dir):
-    return C.difference(C.flatten(K.system_documents(spark, sf_dir).where("variant = 'v1'")), C.flatten(K.gold_documents(spark, sf_dir)), "doc_id")
+    return C.difference(*_either_side(spark, sf_dir), "variant", "doc_id")
 
 
-@query(_with("SELECT doc_id, kind, type, value FROM sys_claims WHERE variant = 'v1' UNION SELECT doc_id, kind, type, value FROM gold_claims"))
+@query(_with("SELECT variant, doc_id, kind, type, value FROM sys_claims UNION SELECT variant, doc_id, kind, type, value FROM gold_claims, v"))
 def claim_union(spark, sf_dir):
-    return C.union(C.flatten(K.system_documents(spark, sf_dir).where("variant = 'v1'")), C.flatten(K.gold_documents(spark, sf_dir)), "doc_id")
+    return C.union(*_either_side(spark, sf_dir), "variant", "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
@@ -114,17 +118,22 @@ round(avg(CASE WHEN n_system > 0 THEN (n_system - n_both) / n_system ELSE 0 END)
 
 @query(_with(_SUMMARY))
 def variant_summary(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    return A.summary(scored, A.error_rate(scored, "ioc"), A.error_rate(scored, "ttp"))
+    return A.summary(_scored(spark, sf_dir))
 
 
-@query(_with("SELECT variant, kind, string_agg(CAST(CAST(f1 * 10000 AS BIGINT) AS VARCHAR), ',' ORDER BY doc_id) AS f1 FROM scored GROUP BY variant, kind"))
+@query(_with("SELECT variant, kind, doc_id, f1 FROM scored"))
 def f1_vectors(spark, sf_dir):
-    got = A.vectors(_scored(spark, sf_dir))
-    return got.withColumn("f1", F.array_join(F.transform("f1", lambda x: F.round(x * 10000).cast("long").cast("string")), ","))
+    return A.vectors(_scored(spark, sf_dir))
+
+
+@query(_with("SELECT variant, doc_id, kind, n_system, n_gold, n_both FROM counted"))
+def claim_level_counts(spark, sf_dir):
+    """The same counts from the long tables of claims."""
+    system, gold = C.flatten(K.system_documents(spark, sf_dir)), C.flatten(K.gold_documents(spark, sf_dir))
+    return A.counts(system, gold, K.outputs(spark, sf_dir), ["ioc", "ttp"])
 
 
-@query(_with("SELECT variant, round(count(*) FILTER (trim(snippet) = '' AND type <> 'tool') / count(*) FILTER (type <> 'tool'), 4) AS unsupported_rate FROM sys_claims GROUP BY variant"))
+@query(_with("SELECT variant, round(count(*) FILTER (regexp_matches(snippet, '^\\s*$') AND type <> 'tool') / count(*) FILTER (type <> 'tool'), 4) AS unsupported_rate FROM sys_claims GROUP BY variant"))
 def unsupported_rate(spark, sf_dir):
     return A.unsupported_rate(C.flatten(K.system_documents(spark, sf_dir)))
 
@@ -353,8 +362,8 @@ def _json_documents(spark, sf_dir) -> DataFrame:
 
 
 @query("""SELECT DISTINCT l_orderkey AS doc_id, concat_ws(',', CASE WHEN l_orderkey % 4 = 2 THEN 'report_type' END, CASE WHEN l_orderkey % 4 = 1 THEN 'summary' END,
-CASE WHEN bool_or(l_tax < 0.02) THEN 'ttp_fields' END, 'ttp_id',
-CASE WHEN bool_or(l_tax < 0.02) THEN 'tools,cves' END) AS violations FROM lineitem WHERE l_quantity < 26 GROUP BY l_orderkey""")
+CASE WHEN bool_or(l_tax < 0.01) THEN 'ttp_fields' END, 'ttp_id',
+CASE WHEN bool_or(l_tax < 0.01) THEN 'tools,cves' END) AS violations FROM lineitem WHERE l_quantity < 26 GROUP BY l_orderkey""")
 def validate_quarantine(spark, sf_dir):
     parsed = _json_documents(spark, sf_dir).select("doc_id", S.violations(S.parse(F.col("json"))).alias("violations"))
     return parsed.select("doc_id", F.array_join("violations", ",").alias("violations"))
@@ -456,7 +465,7 @@ def ground_exact(spark, sf_dir):
 SELECT variant, doc_id, type, value, min(pos) AS pos, CASE type WHEN 'cve' THEN 5 WHEN 'tool' THEN 6 ELSE 7 END AS o FROM (SELECT variant, doc_id, CASE type WHEN 'id' THEN 'ttp' ELSE type END AS type, value, pos FROM sys_claims) GROUP BY variant, doc_id, type, value)
 QUALIFY row_number() OVER (PARTITION BY variant, doc_id ORDER BY o, pos) <= 12"""))
 def questions_topn(spark, sf_dir):
-    every = C.flatten(K.system_documents(spark, sf_dir)).withColumn("type", F.when(F.col("kind") == "ttp", "ttp").otherwise(F.col("type")))
+    every = C.flatten(K.system_documents(spark, sf_dir), subject=True)
     keyed = every.withColumn("doc_id", F.struct("variant", "doc_id"))
     return V.questions(keyed, 12).select("doc_id.variant", "doc_id.doc_id", "n", "type", "value")
 
@@ -470,26 +479,51 @@ def answer_parse(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", V.supported(answer, literal=True).alias("literal"), V.supported(answer).alias("intended"))
 
 
+def _system(spark, sf_dir) -> DataFrame:
+    """The documents of all variants under one key."""
+    return K.system_documents(spark, sf_dir).select(F.struct("variant", "doc_id").alias("doc_id"), "doc")
+
+
 def _answers(spark, sf_dir) -> DataFrame:
-    """An answer to the question about each of v1's claims: no where the value ends in 3."""
-    every = C.flatten(K.system_documents(spark, sf_dir).where("variant = 'v1'")).drop("variant")
-    return every.withColumn("supported", ~F.endswith("value", F.lit("3")))
+    """An answer to the question about each claim: no where the value ends in 3."""
+    return C.flatten(_system(spark, sf_dir)).withColumn("supported", ~F.endswith("value", F.lit("3")))
 
 
-@query(_with("SELECT doc_id, kind, type, CAST(pos AS INTEGER) AS pos, value FROM sys_claims WHERE variant = 'v1' AND right(value, 1) <> '3'"))
+@query(_with("SELECT variant, doc_id, kind, type, CAST(pos AS INTEGER) AS pos, value FROM sys_claims WHERE right(value, 1) <> '3'"))
 def targeted_deletion(spark, sf_dir):
     answers = _answers(spark, sf_dir)
-    return V.delete(answers, answers.where("not supported")).select("doc_id", "kind", "type", "pos", "value")
+    return V.delete(answers, answers.where("not supported")).select("doc_id.variant", "doc_id.doc_id", "kind", "type", "pos", "value")
 
 
-@query(_with("SELECT doc_id, count(*) AS n_questions, count(*) FILTER (right(value, 1) <> '3') AS n_supported, count(*) FILTER (right(value, 1) = '3') AS n_not_supported FROM sys_claims WHERE variant = 'v1' GROUP BY doc_id"))
+@query(_with("SELECT variant, doc_id, count(*) AS n_questions, count(*) FILTER (right(value, 1) <> '3') AS n_supported, count(*) FILTER (right(value, 1) = '3') AS n_not_supported FROM sys_claims GROUP BY ALL"))
 def cove_totals(spark, sf_dir):
-    return V.totals(_answers(spark, sf_dir))
+    return V.totals(_answers(spark, sf_dir)).select("doc_id.variant", "doc_id.doc_id", "n_questions", "n_supported", "n_not_supported")
 
 
-@query(_with("SELECT doc_id, count(*) FILTER (kind = 'ioc') AS n_iocs, count(*) FILTER (kind = 'ttp') AS n_ttps FROM sys_claims WHERE variant = 'v1' GROUP BY doc_id"))
+@query(_with("SELECT variant, doc_id, count(*) FILTER (kind = 'ioc') AS n_iocs, count(*) FILTER (kind = 'ttp') AS n_ttps FROM sys_claims GROUP BY ALL"))
 def claim_counts(spark, sf_dir):
-    return V.claim_counts(_answers(spark, sf_dir))
+    return V.claim_counts(_answers(spark, sf_dir)).select("doc_id.variant", "doc_id.doc_id", "n_iocs", "n_ttps")
+
+
+@query(_with("""SELECT variant, doc_id, string_agg(value, ',' ORDER BY pos) FILTER (type = 'tool' AND right(value, 1) <> '3') AS tools, string_agg(value, ',' ORDER BY pos) FILTER (type = 'cve' AND right(value, 1) <> '3') AS cves,
+count(*) FILTER (kind = 'ttp' AND right(value, 1) <> '3') AS n_ttps FROM sys_claims GROUP BY ALL"""))
+def documents_without(spark, sf_dir):
+    """Documents rebuilt without the items that an answer rejects: every list in order. Undone only where a rule would break that held before."""
+    answers = _answers(spark, sf_dir)
+    docs, _ = D.without(_system(spark, sf_dir), answers.where("not supported"))
+    text = lambda c, change: F.nullif(F.array_join(F.transform(c, change), ","), F.lit(""))
+    ioc = F.col("doc.indicators_of_compromise")
+    return docs.select("doc_id.variant", "doc_id.doc_id", text(ioc["tools"], lambda t: F.lower(X.strip(t["name"]))).alias("tools"), text(ioc["cves"], lambda c: F.upper(X.strip(c["value"]))).alias("cves"), F.size("doc.ttps").cast("long").alias("n_ttps"))
+
+
+@query(_with("""SELECT variant, doc_id, n_iocs AS n_iocs_before, n_ttps AS n_ttps_before, n_iocs + n_ttps AS n_questions, n_no = 0 AS unchanged, n_iocs - i_no AS n_iocs_after, n_ttps - t_no AS n_ttps_after
+FROM (SELECT variant, doc_id, count(*) FILTER (kind = 'ioc') AS n_iocs, count(*) FILTER (kind = 'ttp') AS n_ttps, count(*) FILTER (right(value, 1) = '3') AS n_no, count(*) FILTER (kind = 'ioc' AND right(value, 1) = '3') AS i_no,
+count(*) FILTER (kind = 'ttp' AND right(value, 1) = '3') AS t_no FROM sys_claims GROUP BY ALL)"""))
+def verification_steps(spark, sf_dir):
+    answers = _answers(spark, sf_dir).withColumns({"n": F.col("pos"), "question": F.col("value"), "answer": F.lit("No.")})
+    gone = V.deleted(answers, answers.where("not supported"))
+    got = V.steps(answers, answers, gone, gone.limit(0))
+    return got.select("doc_id.variant", "doc_id.doc_id", "n_iocs_before", "n_ttps_before", "n_questions", (~F.col("changed")).alias("unchanged"), "n_iocs_after", "n_ttps_after")
 
 
 # ---- similarity of summaries, model steps
@@ -530,5 +564,5 @@ def pipeline_variants(spark, sf_dir):
     """V1 to V3 with the stand-in model over all documents: one extraction, read by grounding and verification."""
     reports = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     extracted, failed = G.v1(reports)
-    left, _ = G.v3(extracted, reports)
-    return extracted.select("doc_id").join(left.groupBy("doc_id").count(), "doc_id", "left").select("doc_id", F.coalesce("count", F.lit(0)).alias("n_claims"))
+    left, _, _ = G.v3(extracted, reports)
+    return left.join(C.flatten(left).groupBy("doc_id").count(), "doc_id", "left").select("doc_id", F.coalesce("count", F.lit(0)).alias("n_claims"))

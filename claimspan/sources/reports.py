@@ -17,6 +17,8 @@ from ..plans import schema as S
 # The suffixes that can be read, and in which order a report is looked for.
 SUFFIXES = ("pdf", "html", "htm")
 PRIORITY = ("pdf", "html", "txt")
+#: The names of files of JSON lines.
+PART = r"^part-[0-9]{5}-"
 
 
 def stem(path: Column) -> Column:
@@ -96,7 +98,7 @@ def pdf_report(content: bytes, name: str) -> tuple[str, str]:
 def load_reports(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """doc_id, title, text of the PDF and HTML files of a folder (or one file), a row each; other files are left out.
 
-    strict: a path without any report is an error."""
+    strict: a path without any report is an error, and so is a single file of another kind. Rows come in no order; sort by doc_id where order matters."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,6 +108,9 @@ def load_reports(spark: SparkSession, path: str, strict: bool = False) -> DataFr
                 rows.append((name, title or name, text))
             yield pd.DataFrame(rows, columns=["doc_id", "title", "text"])
 
+    ending = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[1:]
+    if strict and ending and 1 < len(ending[0]) < 5 and ending[0].isalpha() and ending[0].lower() not in SUFFIXES:
+        raise ValueError(f"unsupported format: {path}")
     files = spark.read.format("binaryFile").load(path).where(suffix(F.col("path")).isin(*SUFFIXES))
     if strict and not files.select("path").limit(1).count():
         raise ValueError(f"no {', '.join(SUFFIXES)} report at {path}")
@@ -120,9 +125,12 @@ def find_reports(documents: DataFrame, files: DataFrame) -> tuple[DataFrame, Dat
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, json: one JSON text for each file, logs and reports left out by their name."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(stem(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("json"))
-    return files.where(~is_ancillary(F.col("doc_id")))
+    """doc_id, json: one JSON text for each file, logs and reports left out by their name, and one for each line of the files that write_documents writes
+    (PART), whose doc_id stands in the line."""
+    name = F.col("_metadata.file_name")
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").where(~name.rlike(PART)).select(stem(name).alias("doc_id"), F.col("value").alias("json"))
+    lines = spark.read.text(path, pathGlobFilter="*.json").where(name.rlike(PART) & (F.col("value") != "")).select(F.get_json_object("value", "$.doc_id").alias("doc_id"), F.col("value").alias("json"))
+    return whole.where(~is_ancillary(F.col("doc_id"))).union(lines)
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
@@ -143,10 +151,18 @@ def load_system(spark: SparkSession, path: str, validated: bool = True) -> tuple
     return ok.select("doc_id", "doc"), bad.select("doc_id", "json", "violations"), sent
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """Documents as JSON lines, a folder for each variant; absent fields are written as null."""
-    flat = docs.select("variant", "doc_id", "doc.*")
-    flat.write.mode("overwrite").partitionBy("variant").option("ignoreNullFields", "false").json(path)
+def write_documents(docs: DataFrame, path: str, sentinels: DataFrame | None = None) -> None:
+    """Documents (doc_id, doc) as JSON lines in files that read_json reads; absent fields are written as null. sentinels (doc_id, error, context_overflow): the
+    documents that failed, a line each. With a column `variant`, a folder for each."""
+    by = ["variant"] if "variant" in docs.columns else []
+
+    def write(rows: DataFrame, mode: str) -> None:
+        writer = rows.write.mode(mode).option("ignoreNullFields", "false")
+        (writer.partitionBy(*by) if by else writer).json(path)
+
+    write(docs.select(*by, "doc_id", "doc.*"), "overwrite")
+    if sentinels is not None:
+        write(sentinels.select(*by, "doc_id", "error", "context_overflow"), "append")
 
 
 def write_results(tables: dict[str, DataFrame], path: str) -> None:

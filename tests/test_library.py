@@ -252,9 +252,58 @@ def test_variants_with_the_stand_in(spark):
     docs = spark.createDataFrame([("a", "text one"), ("b", None)], "doc_id string, text string")
     ok, failed = generate.v1(docs)
     assert ok.count() == 1 and failed.collect()[0]["doc_id"] == "b"
-    assert generate.v0(docs).count() == 2
-    left, answers = generate.v3(ok, docs)
-    assert left.count() == 0 and answers.count() == 0
+    assert [x.count() for x in generate.v0(docs)] == [1, 1]  # a null prompt has no answer
+    left, answers, steps = generate.v3(ok, docs)
+    assert left.count() == 1 and answers.count() == 0 and steps.count() == 0
+
+
+def test_verification_asks_about_techniques_and_rebuilds(spark):
+    class Sceptic:
+        """Says no to what names T1059 or 9.9.9.9, fails on 8.8.8.8, and yes to all else."""
+
+        def __call__(self, prompts, **options):
+            if "8.8.8.8" in prompts[0]:
+                raise RuntimeError("context window")
+            return ["No." if "T1059" in prompts[0] or "9.9.9.9" in prompts[0] else "Yes."]
+
+    ips = [{"value": v, "evidence_snippet": "seen"} for v in ("1.1.1.1", "9.9.9.9", "8.8.8.8", "9.9.9.9")]
+    ttps = [{"mitre_id": i, "tactic": "execution", "technique": t, "evidence_snippet": "seen"} for i, t in (("T1059", "shell"), (None, "mail"))]
+    rows = [("d", document(indicators_of_compromise={"ip_addresses": ips}, ttps=ttps)), ("e", document())]
+    docs = spark.createDataFrame(rows, "doc_id string, json string").select("doc_id", schema.parse(F.col("json")).alias("doc"))
+    left, answers, steps = generate.v3(docs, spark.createDataFrame([("d", "text"), ("e", "text")], "doc_id string, text string"), Sceptic)
+    asked = {r["question"]: r["supported"] for r in answers.where("doc_id = 'd'").collect()}
+    assert len(asked) == 5 and sum("execution" in q for q in asked) == 2 and sum(v is None for v in asked.values()) == 1
+    got = {r["doc_id"]: r for r in left.collect()}
+    # The second 9.9.9.9 was not asked about; the address whose question failed stays.
+    assert [i["value"] for i in got["d"]["doc"]["indicators_of_compromise"]["ip_addresses"]] == ["1.1.1.1", "8.8.8.8", "9.9.9.9"]
+    assert [t["technique"] for t in got["d"]["doc"]["ttps"]] == ["mail"] and got["e"]["doc"] is not None
+    step = {r["doc_id"]: r for r in steps.collect()}["d"]
+    assert (step["n_iocs_before"], step["n_iocs_after"], step["n_ttps_before"], step["n_ttps_after"], step["n_questions"], step["n_supported"], step["n_not_supported"]) == (4, 3, 2, 1, 5, 2, 2)
+    assert step["changed"] and not step["fallback"] and [x["list"] for x in step["deleted_items"]] == ["ip_addresses", "ttps"] and "NO ANSWER" in step["qa_pairs"]
+
+
+def test_white_space_is_no_support(spark):
+    rows = [("v", "ioc", "ip", s) for s in ("\t\n", "", " ", None, "x")] + [("v", "ioc", "tool", "")]
+    claims_ = spark.createDataFrame(rows, "variant string, kind string, type string, snippet string")
+    assert metrics.unsupported_rate(claims_).first()["unsupported_rate"] == 0.8
+
+
+def test_commas_to_the_end_of_a_run(spark):
+    gaps = "[" + "\n".join(['"a"'] * 12) + "]"
+    text = spark.createDataFrame([('{"x": ' + gaps + "}",)], "t string")
+    got = text.select(jsonrepair.repair(F.col("t")).alias("r")).first()["r"]
+    assert got["strategy"] == "commas" and got["json"].count(",") == 11
+
+
+def test_mean_alpha(spark):
+    alphas = spark.createDataFrame([(0.5,), (0.9,), (None,)], "alpha double")
+    assert stats.mean_alpha(alphas).first().asDict() == {"mean_alpha": 0.7, "n": 2, "acceptable": True}
+    assert not stats.mean_alpha(alphas, 0.8).first()["acceptable"]
+
+
+def test_exact_without_ties(spark):
+    pairs = spark.createDataFrame([("g", float(i), 0.01 * i * i) for i in range(1, 31)] + [("t", float(i % 3), 0.0) for i in range(30)], "g string, a double, b double")
+    assert {r["g"]: r["method"] for r in stats.wilcoxon(pairs, ["g"]).collect()} == {"g": "exact", "t": "normal"}
 
 
 # ---- files
@@ -276,8 +325,15 @@ def test_files(spark, tmp_path):
     assert [[r["doc_id"] for r in x.collect()] for x in (ok, bad, sent)] == [["d1"], ["d2"], ["d3"]]
     with pytest.raises(Exception, match="invalid gold document"):
         reports.load_gold(spark, str(out)).select("doc.summary").collect()
-    reports.write_documents(ok.withColumn("variant", F.lit("v1")), str(tmp_path / "written"))
+    two = ok.union(ok.select(F.lit("d9").alias("doc_id"), "doc"))
+    reports.write_documents(two.coalesce(1).withColumn("variant", F.lit("v1")), str(tmp_path / "written"))
     assert spark.read.json(str(tmp_path / "written")).first()["variant"] == "v1"
+    reports.write_documents(two.coalesce(1), str(tmp_path / "again"), sent)
+    back, none, failed = reports.load_system(spark, str(tmp_path / "again"))
+    assert sorted(r["doc_id"] for r in back.collect()) == ["d1", "d9"] and none.count() == 0 and failed.first()["context_overflow"]
+    assert back.where("doc_id = 'd1'").first()["doc"] == ok.first()["doc"]
+    with pytest.raises(ValueError, match="unsupported format"):
+        reports.load_reports(spark, str(tmp_path / "C.txt"), strict=True)
     found, lost = reports.find_reports(spark.createDataFrame([("A",), ("Z",)], "doc_id string"), spark.createDataFrame([("/r/A.txt",), ("/r/A.html",)], "path string"))
     assert found.first()["path"] == "/r/A.html" and lost.first()["doc_id"] == "Z"
 
@@ -306,7 +362,13 @@ def test_command_line(spark, tmp_path, capsys):
         (tmp_path / name).mkdir()
         (tmp_path / name / "A.json").write_text(document(summary="actors used it", indicators_of_compromise={"ip_addresses": [{"value": ip, "evidence_snippet": "s"}]}))
     main(["run", "--reports", str(tmp_path / "reports"), "--output-dir", str(tmp_path / "out")], spark)
-    assert spark.read.parquet(str(tmp_path / "out" / "v1")).count() == 1
+    ran = {v: str(tmp_path / "out" / v) for v in ("v0", "v1", "v2", "v3")}
+    assert [reports.load_system(spark, ran[v], v != "v0")[0].count() for v in ran] == [1, 1, 1, 1]
+    main(["evaluate", "--gold", str(tmp_path / "gold"), *(x for v, p in ran.items() for x in (f"--{v}", p)), "--output", str(tmp_path / "closed")], spark)
+    closed = {r["variant"]: r for r in spark.read.parquet(str(tmp_path / "closed" / "summary")).collect()}
+    assert set(closed) == set(ran) and all(r["n_docs_evaluated"] == 1 for r in closed.values())
+    with pytest.raises(Exception, match="(?i)path"):
+        main(["evaluate", "--gold", str(tmp_path / "gold"), "--v1", str(tmp_path / "nowhere")], spark)
     main(["evaluate", "--gold", str(tmp_path / "gold"), "--v1", str(tmp_path / "v1"), "--v2", str(tmp_path / "v2"), "--output", str(tmp_path / "eval")], spark)
     got = {r["variant"]: r for r in spark.read.parquet(str(tmp_path / "eval" / "summary")).collect()}
     assert got["v1"]["macro_ioc_f1"] == 1 and got["v2"]["macro_ioc_f1"] == 0 and got["v2"]["fabrication_rate"] == 1 and got["v1"]["macro_rouge_l"] == 1
