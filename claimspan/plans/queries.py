@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as M
@@ -205,7 +205,7 @@ def wilcoxon_exact_p(spark, sf_dir):
     """Whether the regions' mean balances in a market segment differ from the mean of all such means."""
     joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     means = joined.groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_regionkey").alias("doc_id")).agg(F.round(F.avg("c_acctbal"), 2).alias("a"))
-    both = means.join(means.agg(F.avg("a").alias("b"))).withColumns({"a": F.round(F.col("a") - F.col("b"), 2), "b": F.lit(0.0)})
+    both = means.withColumn("b", F.avg("a").over(Window.partitionBy(F.lit(0)))).withColumns({"a": F.round(F.col("a") - F.col("b"), 2), "b": F.lit(0.0)})  # a row for each segment and region
     return W.wilcoxon(both, ["segment"], "exact").select("segment", "n", "statistic", F.round("p_value", 6).alias("p_value"))
 
 
@@ -444,21 +444,8 @@ def grounding_report(spark, sf_dir):
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))")
 def ground_exact(spark, sf_dir):
-    """Which benchmark items stand in which documents: pairs that share an item's first 8 words, then the exact test.
-
-    Items are keyed by a hash of those words and documents by the hashes of all their 8-word windows that an item has, so no pair is made without a shared key."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("_i"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("_t"))
-    words = lambda c: F.split(c, r"\s+")
-    key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 6), " "))
-    # The first word of an item can be the end of a longer word of a document, so its key begins at the second.
-    items = items.withColumn("_w", words(F.col("_i"))).withColumn("_k", F.when(F.size("_w") >= 8, key(F.col("_w"), F.lit(2))))
-    windows = docs.withColumn("_w", words(F.col("_t"))).select("doc_id", "_t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - 5)), lambda i: key(F.col("_w"), i)))).alias("_k"))
-    hit = windows.join(items.where("_k is not null").select("_k", "item_id", "_i"), "_k").where(F.contains("_t", F.col("_i"))).select("doc_id", "item_id")
-    # Items of a few words have no key; each is looked for in every document.
-    few = items.where("_k is null").agg(F.collect_list(F.struct("item_id", "_i")).alias("_f"))
-    rest = docs.join(F.broadcast(few)).select("doc_id", F.explode(F.filter("_f", lambda f: F.contains(F.col("_t"), f["_i"]))).alias("_x")).select("doc_id", "_x.item_id")
-    return hit.union(rest).distinct()
+    """Which benchmark items stand in which documents."""
+    return E.holds(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 @query(_with("""SELECT variant, doc_id, CAST(row_number() OVER (PARTITION BY variant, doc_id ORDER BY o, pos) AS INTEGER) AS n, type, value FROM (

@@ -220,6 +220,16 @@ def test_free_text(spark):
 # ---- grounding and verification
 
 
+def test_passages_of_any_length_in_documents(spark):
+    rng = random.Random(8)
+    pieces = ["Ab", "ab", "c", "d e", "f", "gh", "ij k", "é"]
+    docs = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))) for i in range(40)] + [(40, None), (41, "")]
+    items = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 10)))) for i in range(60)] + [(60, ""), (61, None), (62, "b c d"), (63, "b")]
+    items += [(100 + i, docs[i][1][3:40]) for i in range(20)]
+    got = {tuple(r) for r in grounding.holds(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert got == {(i, j) for i, t in docs for j, x in items if t is not None and x and x.lower() in t.lower()}
+
+
 def test_grounding_keeps_what_cannot_be_judged(spark):
     c = spark.createDataFrame([("d", "ioc", "ip", "l", i, str(i), s) for i, s in enumerate(["", "too short", "the actor sent mails with macros to banks", "a wholly different sentence about gardening tools"])], "doc_id string, kind string, type string, list string, pos int, value string, snippet string")
     docs = spark.createDataFrame([("d", "Last week THE ACTOR sent mails with macros to banks in Europe.")], "doc_id string, text string")
