@@ -52,10 +52,10 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, and what the audit says of a replica in which rot and loss are planted by the digest of the html:
-    of one record in 256 the last byte is another, and another one in 256 is gone."""
+    of one record in 256 the last byte is another, and another one in 256 is gone; rows of one id share a fate."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     fate = F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 2)
-    fates = pages.select(F.col("page_id").cast("long").alias("_id"), fate.alias("_fate")).where(F.col("_fate").isin("00", "01")).distinct()
+    fates = pages.select(F.col("page_id").cast("long").alias("_id"), fate.alias("_fate")).where(F.col("_fate").isin("00", "01")).groupBy("_id").agg(F.min("_fate").alias("_fate"))
     primary = op7.store(op7.records(pages), "primary")
     rotten = F.concat(F.substring("record", F.lit(1), F.octet_length("record") - 1), F.lit("X").cast("binary"))
     planted = primary.join(fates, primary["page_id"].eqNullSafe(fates["_id"]), "left").where(F.coalesce("_fate", F.lit("")) != "01")
