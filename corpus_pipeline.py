@@ -5,7 +5,8 @@ Every stage reads whole texts of all documents it gets, keeps the columns of doc
 and lets its decisions take effect; the last adds what the mix takes of each document that it takes words of.
 
 Defined cases: the stages that remove near copies and leaks decide by row, known by a 64-bit hash of doc_id and text, so a row without doc_id and each
-of several texts under one doc_id have their own decision. Of rows that agree in doc_id and text the near-copy stage keeps one.
+of several texts under one doc_id have their own decision. Of rows that agree in doc_id and text the near-copy stage keeps one. Null and empty texts pass every stage
+but the last, which takes no words of them. Empty tables give empty tables. Columns that documents do not have are not carried, whatever their names.
 """
 
 from __future__ import annotations
