@@ -35,14 +35,14 @@ def signed_ranks(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", di
     """by, n, n_used, w_plus, w_minus, total, squares, mean_a, mean_b, tied, ranks: sums over the mid-ranks of the differences that are not 0, and,
     for up to EXACT_LIMIT of them, the ranks themselves, doubled and so whole.
 
-    Equal differences are counted first, so the window that ranks them sorts distinct values, however many pairs a group has."""
+    Equal differences are counted first, so the window that ranks them sorts distinct values, however many pairs a group has; only ranks up to the limit are kept."""
     rows = pairs.withColumn("_d", F.round(F.col(a) - F.col(b), digits))
     size = rows.where("_d <> 0").groupBy(*by, F.abs("_d").alias("_a")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_d") > 0).alias("_p"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = size.withColumn("_r", 2 * before + F.col("_n") + 1)
     sums = ranked.groupBy(*by).agg(
         F.sum("_n").alias("n_used"), (F.sum(F.col("_p") * F.col("_r")) / 2).alias("_plus"), (F.sum((F.col("_n") - F.col("_p")) * F.col("_r")) / 2).alias("_minus"),
-        (F.sum(F.col("_n") * F.col("_r")) / 2).alias("_t"), (F.sum(F.col("_n") * F.col("_r") * F.col("_r")) / 4).alias("_s"), F.max("_n").alias("_most"), F.array_sort(F.collect_list(F.struct("_r", "_n"))).alias("_l"),
+        (F.sum(F.col("_n") * F.col("_r")) / 2).alias("_t"), (F.sum(F.col("_n") * F.col("_r") * F.col("_r")) / 4).alias("_s"), F.max("_n").alias("_most"), F.array_sort(F.collect_list(F.when(F.col("_r") - F.col("_n") - 1 <= 2 * EXACT_LIMIT, F.struct("_r", "_n")))).alias("_l"),
     )
     whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
     ranks = F.when(F.col("n_used") <= EXACT_LIMIT, F.flatten(F.transform("_l", lambda x: F.array_repeat(x["_r"], x["_n"].cast("int"))))).otherwise(F.array().cast("array<bigint>"))
