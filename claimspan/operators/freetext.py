@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -13,7 +13,7 @@ SUMMARY_END = r"(?i)^([0-9]+\.|(IP|DOMAIN|HASH|URL|CVE|TOOL|TTP|THREAT|TARGET):)
 SUMMARY_START = r"(?i)^(SUMMARY:|10\.)"
 TTP_LINE = r"(?i)TTP:\s*(T[0-9]{4}(?:\.[0-9]{1,3})?)\s+([A-Za-z /\-]+?)\s*-\s*(.+)"
 TTP_ANYWHERE = r"\b(T[0-9]{4}(?:\.[0-9]{3})?)\b.*?([A-Z][a-z /\-]{3,40})"
-LABELS = {"ip": "IP", "domain": "DOMAIN", "hash": "HASH", "url": "URL", "cve": "CVE", "tool": "(?:TOOL|MALWARE)"}
+LABELLED = r"(?i)^(IP|DOMAIN|HASH|URL|CVE|TOOL|MALWARE):(.*)$"
 
 
 def lines(docs: DataFrame, unicode: bool = True) -> DataFrame:
@@ -37,25 +37,26 @@ def summary(numbered: DataFrame) -> DataFrame:
 
 
 def _labelled(numbered: DataFrame) -> DataFrame:
-    """doc_id, type, value, hash_type, pos of the lines with a label."""
-    body = numbered.where(~F.col("in_summary"))
-    rest = lambda label: X.strip(F.regexp_extract("line", rf"(?i)^{label}:(.*)$", 1))
-    kind = F
-    for name, label in LABELS.items():
-        kind = kind.when(F.col("line").rlike(rf"(?i)^{label}:"), name)
-    body = body.withColumn("type", kind).where("type is not null")
-    raw = F
-    for name, label in LABELS.items():
-        raw = raw.when(F.col("type") == name, rest(label))
-    body = body.withColumn("_v", raw)
-    first, second = F.regexp_extract("_v", r"^(\S+)", 1), F.regexp_extract("_v", r"^\S+\s+(.*)$", 1)
-    single = second == ""
-    hash_value = F.when(single, first).otherwise(second)
-    known = F.upper(first).isin(*X.HASH_TYPES) & ~single
-    value = F.when(F.col("type") == "domain", F.lower("_v")).when(F.col("type") == "cve", F.upper("_v")).when(F.col("type") == "hash", hash_value).otherwise(F.col("_v"))
-    body = body.withColumns({"value": value, "hash_type": F.when(F.col("type") == "hash", F.when(known, F.upper(first)).otherwise(X.hash_type(hash_value)))})
-    keep = (F.col("value") != "") & ~((F.col("type") == "ip") & ~F.col("value").rlike(X.IPV4)) & ~((F.col("type") == "domain") & F.col("value").rlike(X.EXCLUDED_DOMAINS))
-    return body.where(keep).select("doc_id", "type", "value", "hash_type", F.lit(0).alias("phase"), F.col("pos").cast("long").alias("pos"))
+    """doc_id, type, value, hash_type, pos of the lines with a label.
+
+    A line's label and rest are bound once in a lambda; as columns, their many uses would each be a copy of the expressions that make them."""
+
+    def indicator(x: Column) -> Column:
+        kind = F.when(x["label"] == "malware", "tool").otherwise(x["label"])
+        first, second = F.regexp_extract(x["rest"], r"^(\S+)", 1), F.regexp_extract(x["rest"], r"^\S+\s+(.*)$", 1)
+        single = second == ""
+        hash_value = F.when(single, first).otherwise(second)
+        known = F.upper(first).isin(*X.HASH_TYPES) & ~single
+        value = F.when(kind == "domain", F.lower(x["rest"])).when(kind == "cve", F.upper(x["rest"])).when(kind == "hash", hash_value).otherwise(x["rest"])
+        return F.struct(kind.alias("type"), value.alias("value"), F.when(kind == "hash", F.when(known, F.upper(first)).otherwise(X.hash_type(hash_value))).alias("hash_type"))
+
+    def keep(x: Column) -> Column:
+        return (x["value"] != "") & ~((x["type"] == "ip") & ~x["value"].rlike(X.IPV4)) & ~((x["type"] == "domain") & x["value"].rlike(X.EXCLUDED_DOMAINS))
+
+    part = lambda i: F.regexp_extract("line", LABELLED, i)
+    own = F.array(F.struct(F.lower(part(1)).alias("label"), X.strip(part(2)).alias("rest")))
+    found = numbered.where(~F.col("in_summary") & F.col("line").rlike(LABELLED)).select("doc_id", "pos", F.inline(F.filter(F.transform(own, indicator), keep)))
+    return found.select("doc_id", "type", "value", "hash_type", F.lit(0).alias("phase"), F.col("pos").cast("long").alias("pos"))
 
 
 def _anywhere(docs: DataFrame, strict_compat: bool) -> DataFrame:
