@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_WS, folder, materialise, remove
+from .common import ASCII_WS, folder, materialise, no_shuffle_left, remove
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -77,7 +77,8 @@ class LineRuns:
     def _write(self, counts: DataFrame, level: int) -> str:
         """A run of counts that are dealt like the buckets, so that a bucket is one file."""
         name = f"claimspan_lines{level}_{uuid.uuid4().hex}"
-        counts.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", f"{folder(self.spark)}/{name}").saveAsTable(name)
+        with no_shuffle_left(self.spark):
+            counts.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", f"{folder(self.spark)}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from claimspan.llm.common import materialise
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -68,3 +69,11 @@ def test_rows_without_or_with_one_id(spark, tmp_path):
     assert sorted(near, key=str) == sorted(want, key=str)
     clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()]
     assert sorted(clean, key=str) == sorted((r for r in rows if r[1] not in (leak, other)), key=str)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = lambda: sum(1 for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in f)
+    before = files()
+    stored = materialise(spark.range(1000).repartition(3, "id"), "no-shuffle")
+    left = files()
+    assert left <= before and stored.count() == 1000
