@@ -465,6 +465,32 @@ def test_jaccard_against_brute_force(spark, limits):
         assert got == _components(docs, n, percent)
 
 
+def test_common_passages_alone_make_no_large_group(spark, monkeypatch):
+    """Pairs of near copies that hold passages of others too: wide tokens must not chain them to one candidate group."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    passages = [" ".join(rng.choices(vocab, k=8)) for _ in range(40)]
+    docs = []
+    for i in range(0, 160, 2):
+        own = rng.choices(vocab, k=90)
+        for p in rng.sample(passages, 3):
+            own.insert(rng.randrange(len(own)), p)
+        docs += [(i, " ".join(own)), (i + 1, " ".join(own) + " more")]
+    largest, made = [], jaccard_join.materialise
+
+    def spied(df, label):
+        out = made(df, label)
+        if label == "mgo-sized":
+            largest.append(out.agg({"members": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", spied)
+    monkeypatch.setattr(jaccard_join, "HEAVY", 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, docs), star=3).collect()}
+    assert got == _components(docs, 4, 85)
+    assert largest[0] <= 8
+
+
 def test_prefixes_hold_their_promise():
     rng = np.random.default_rng(8)
     heavy = np.zeros(0, np.uint64)
