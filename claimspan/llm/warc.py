@@ -48,13 +48,13 @@ def read_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])].split(b"\r\n\r\n", 1)[1]
 
 
-def records(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """page_id, segment, seq, offset, length, record: the layout of pages (page_id, url, html) in segment files."""
-    made = pages.select(F.col("page_id").cast("long").alias("page_id"), record_bytes(F.col("url").cast("string"), F.col("html").cast("string")).alias("record"))
-    made = made.select("page_id", F.coalesce(F.floor(F.col("page_id") / segment), -1 - F.pmod(F.xxhash64("record"), F.lit(1 << 20))).cast("long").alias("segment"), F.octet_length("record").cast("long").alias("length"), "record")
+def records(pages: DataFrame, segment: int = SEGMENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, segment, seq, offset, length, record: the layout of pages (page_id, url, html) in segment files; then the columns to keep. Records of one id are in one segment."""
+    made = pages.select(F.col("page_id").cast("long").alias("page_id"), record_bytes(F.col("url").cast("string"), F.col("html").cast("string")).alias("record"), *keep)
+    made = made.select(*keep, "page_id", F.coalesce(F.floor(F.col("page_id") / segment), -1 - F.pmod(F.xxhash64("record"), F.lit(1 << 20))).cast("long").alias("segment"), F.octet_length("record").cast("long").alias("length"), "record")
     order = Window.partitionBy("segment").orderBy("page_id", "record")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return made.select("page_id", "segment", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(before, F.lit(0)).alias("offset"), "length", "record")
+    return made.select("page_id", "segment", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(before, F.lit(0)).alias("offset"), "length", "record", *keep)
 
 
 def _node(level: int, start: Column, end: Column, digest: Column) -> Column:

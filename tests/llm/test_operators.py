@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from claimspan.llm import components, decontaminate, jaccard_join, language_id, line_dedup, media, mixing, quality, substring_dedup, toxicity, warc, words
+from claimspan.llm import components, decontaminate, jaccard_join, language_id, line_dedup, media, mixing, quality, queries, substring_dedup, toxicity, warc, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -540,6 +540,22 @@ def test_audit_finds_each_kind_of_damage(spark):
     assert warc.fixity(primary, primary)[1].count() == 0
 
 
+def test_fates_of_odd_ids_move_no_record_again(spark, tmp_path, monkeypatch):
+    htmls = {v: [h for h in (f"<p>{i}</p>" for i in range(20_000)) if hashlib.sha256(h.encode()).hexdigest()[:2] == v][:2] for v in ("00", "01", "02")}
+    rows = [(1, htmls["00"][0]), (1, htmls["02"][0]), (2, htmls["01"][0]), (2, htmls["02"][1]), (3, htmls["02"][0]), (None, htmls["00"][1]), (None, htmls["01"][1]), (None, None), (2000, htmls["00"][0])]
+    spark.createDataFrame([(i, f"u{k}", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    moved, store = [], warc.store
+
+    def spied(df, label):
+        moved.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return store(df, label)
+
+    monkeypatch.setattr(warc, "store", spied)
+    got = Counter((r["page_id"], r["status"]) for r in queries.op7_warc_fixity(spark, str(tmp_path)).collect())
+    assert got == {(1, "corrupt"): 2, (2, "missing"): 2, (3, "ok"): 1, (None, "corrupt"): 3, (2000, "corrupt"): 1}
+    assert moved == [1, 0]
+
+
 # ---- 8 quality
 
 
