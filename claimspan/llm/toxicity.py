@@ -11,8 +11,8 @@ The lexicon is SEEDS and the words that labels teach: those of MIN_DOCS toxic tr
 least PRECISION of all cases. Of either label, documents that agree in all of MARKS minimum hashes of their words (copies, most near copies) count once. A term's weight is its smoothed log odds. The raw score is the sum of
 the weights found per word of text (plus SMOOTH words); a logistic curve fitted to the training documents turns it into 0 to 1.
 
-Fitted on at most MAX_TOXIC toxic and MAX_CLEAN other training documents (by hash of doc_id); counts of a term cover
-that sample, and every term of it that passes is in the lexicon. Every document is scored over its whole text.
+Fitted on all training documents: counts of a term cover all of them, and every term that passes is in the lexicon. The curve is fitted to
+the raw scores of all of them, counted and averaged in bins of 1 / BINS. Every document is scored over its whole text.
 
 Defined cases: a document with labels of both kinds teaches nothing; null or empty text has no hits and gets the score of none; without labels of both kinds the seeds and fixed curve decide;
 repeated rows score equally; other columns are not read, and those named like a result give way to it.
@@ -35,8 +35,7 @@ from .common import materialise
 from .words import mix
 
 THRESHOLD = 0.7
-MAX_TOXIC = 10_000
-MAX_CLEAN = 30_000
+BINS = 4096
 MIN_DOCS = 4
 MARKS = 4
 PRECISION = 0.85
@@ -165,9 +164,9 @@ def _odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return float(np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """A logistic curve by Newton's steps with a small ridge; the classes weigh alike."""
-    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+def _curve(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+    """A logistic curve by Newton's steps with a small ridge; the classes weigh alike, and a point as often as it is there."""
+    w = times * np.where(y == 1, 0.5 / max(1, times[y == 1].sum()), 0.5 / max(1, times[y == 0].sum()))
     a, b = 0.0, 0.0
     m = np.stack([np.ones_like(x), x], 1)
     for _ in range(50):
@@ -181,14 +180,14 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -> dict:
     """lexicon, a, b: from the texts of docs and the ids and labels of train (doc_id, toxic: 0 or 1)."""
-    sample = materialise(sampled(docs, train, "toxic", MAX_CLEAN, MAX_TOXIC).select("toxic", "text"), "toxic-train")
+    sample = materialise(docs.select("doc_id", "text").join(train, "doc_id").select("toxic", "text"), "toxic-train")
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     lexicon = {fold(s): SEED_WEIGHT for s in seeds}
     if not (n_toxic and n_clean):
         return {"lexicon": lexicon, "a": -3.0, "b": 1.0}
 
-    def documents(label: int, wanted: dict[str, int] | None = None) -> DataFrame:
+    def documents(label: int) -> DataFrame:
         """term, n: in how many documents of a label a term occurs, by their marks; the term "" is all of them."""
 
         def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +196,7 @@ def fit(docs: DataFrame, train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -
                 for text in batch.column("text").to_pylist():
                     own = terms_of(text or "")
                     mark = mark_of(own)
-                    seen.update((t, mark) for t in own if wanted is None or t in wanted)
+                    seen.update((t, mark) for t in own)
                     seen.add(("", mark))
                     if len(seen) > 200_000:
                         yield rows(seen)
@@ -210,10 +209,12 @@ def fit(docs: DataFrame, train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -
         return sample.where(F.col("toxic") == label).select("text").mapInArrow(terms, "term string, mark long").groupBy("term").agg(F.countDistinct("mark").alias("n"))
 
     often = documents(1).where((F.col("n") >= MIN_DOCS) | (F.col("term") == ""))
-    picked = {r["term"]: r["n"] for r in often.collect()}  # words of MAX_TOXIC documents
-    n_toxic = picked.pop("")
-    other = {r["term"]: r["n"] for r in documents(0, picked).collect()}
-    n_clean = other.pop("")
+    both = often.join(documents(0).withColumnRenamed("n", "_other"), "term", "left").withColumn("_other", F.coalesce("_other", F.lit(0)))
+    # Only what can be in the lexicon comes to the driver.
+    passes = (F.col("n") / (F.col("n") + F.col("_other")) >= PRECISION) | F.col("term").isin("", *lexicon)
+    found = both.where(passes).collect()
+    picked, other = {r["term"]: r["n"] for r in found}, {r["term"]: r["_other"] for r in found}
+    n_toxic, n_clean = picked.pop(""), other.pop("")
     for s in list(lexicon):
         lexicon[s] = max(1.0, _odds(picked.get(s, 0), other.get(s, 0), n_toxic, n_clean)) if s in picked else SEED_WEIGHT
     # Folded terms first: what is found by them needs no term as written.
@@ -226,16 +227,17 @@ def fit(docs: DataFrame, train: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS) -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([raw_score(m, t)[0] for t in batch.column("text").to_pylist()], pa.float64())], names=["toxic", "x"])
 
-    points = sample.mapInArrow(raw, "toxic int, x double").toArrow()
-    order = np.lexsort((points["x"].to_numpy(), points["toxic"].to_numpy()))
-    a, b = _curve(points["x"].to_numpy()[order], points["toxic"].to_numpy()[order].astype(float))
+    bins = sample.mapInArrow(raw, "toxic int, x double").groupBy("toxic", F.floor(F.col("x") * BINS).alias("_bin")).agg(F.sum(F.round(F.col("x") * (1 << 40)).cast("decimal(38,0)")).alias("x"), F.count(F.lit(1)).alias("n"))
+    points = sorted((r["toxic"], r["_bin"], int(r["x"]) / r["n"] / (1 << 40), r["n"]) for r in bins.collect())
+    y, _, x, times = (np.array(c, float) for c in zip(*points))
+    a, b = _curve(x, y, times)
     return {"lexicon": lexicon, "a": a, "b": b}
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD, exceptions=EXCEPTIONS) -> DataFrame:
     """The columns of docs (which has text), then score, n_hits and predicted. No column but text is read."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # words of MAX_TOXIC documents
+    held = spark.sparkContext.broadcast(model)  # terms that pass
 
     @F.pandas_udf("struct<score:double,n_hits:long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

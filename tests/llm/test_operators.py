@@ -280,6 +280,18 @@ def test_toxicity_held_out_of_the_given_labels(spark):
     assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean), (sum(toxic), len(toxic), sum(clean), len(clean))
 
 
+def test_every_labelled_document_teaches(spark):
+    """More than 30,000 training documents that are not toxic all count in a term's weight."""
+    rows = [(i, " ".join(f"{c}{i}x" for c in "jkmnpq")) for i in range(48_000)]
+    rows += [(100_000 + i, " ".join(f"{c}{i}y" for c in "jkmnpq") + " badword") for i in range(150)]
+    docs = frame(spark, rows)
+    train = toxicity.labelled(docs, spark.createDataFrame([(i, int(i >= 100_000)) for i, _ in rows], "doc_id long, toxic int"), "toxic")
+    size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    assert size[0] > 31_500
+    want = toxicity._odds(size[1], 0, size[1], size[0])
+    assert toxicity.fit(docs, train)["lexicon"][toxicity.fold("badword")] == pytest.approx(want, abs=0.01)
+
+
 def test_unrelated_documents_teach_apart_and_copies_once(spark):
     rng = random.Random(14)
     word = lambda: "".join(rng.choice("aeounrst") for _ in range(8))
