@@ -503,6 +503,39 @@ def test_common_passages_alone_make_no_large_group(spark, monkeypatch):
     assert largest[0] <= 8
 
 
+def test_sets_of_small_groups_are_shuffled_once_in_slices(spark, monkeypatch):
+    """A slice of the groups at a time, each by one exchange, so the shuffle files of all sets never stand beside the sets."""
+    rng = random.Random(10)
+    vocab = [f"w{i}" for i in range(900)]
+    docs = []
+    for i in range(0, 120, 3):
+        own = rng.choices(vocab, k=rng.randint(3, 80))
+        docs += [(i, " ".join(own)), (i + 1, " ".join([*own, "more"])), (i + 2, " ".join(["yet", *own]))]
+    exchanges, made = [], jaccard_join.materialise
+
+    def spied(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if label == "mgo-edges" and "FlatMapGroupsInArrow" in plan:
+            exchanges.append(plan.count("Exchange hashpartitioning"))
+        return made(df, label)
+
+    monkeypatch.setattr(jaccard_join, "materialise", spied)
+    monkeypatch.setattr(jaccard_join, "SLICE_SETS", 30, raising=False)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, docs)).collect()}
+    assert got == _components(docs, 4, 85)
+    assert len(exchanges) > 1 and set(exchanges) == {1}
+
+
+def test_sizes_that_cannot_link():
+    for a in range(1, 1500, 7):
+        for b in range(1, 1500, 11):
+            ids = [np.array([5 << 6 | jaccard_join.need(n) - 1]) for n in (a, b)]
+            for percent in (80, 85, 100):
+                if 100 * min(a, b) >= percent * max(a, b):
+                    assert jaccard_join.sizes_fit(*ids, percent)[0]
+    assert not jaccard_join.sizes_fit(np.array([64]), np.array([64 | 5]), 85)[0]
+
+
 def test_prefixes_hold_their_promise():
     rng = np.random.default_rng(8)
     heavy = np.zeros(0, np.uint64)
