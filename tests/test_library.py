@@ -425,3 +425,38 @@ def test_published_scores(spark):
             r = got["-".join(x.strip().lower() for x in e["comparison"].split("vs"))]
             assert r["statistic"] == e["statistic"] and abs(r["p_value"] - e["p_value"]) < 1e-6 and r["significant"] == e["significant"]
             assert r["effect_size_r"] == e["effect_size_r"] and r["effect_label"] == e["effect_label"]
+
+
+# ---- plans of the queries
+
+
+@pytest.mark.parametrize("name", ["claim_intersect", "claim_except", "claim_union", "claim_level_counts", "prf1_per_doc", "questions_topn", "targeted_deletion", "documents_without", "verification_steps"])
+def test_documents_are_dealt_once_by_doc_id(spark, name):
+    """Claims and documents lie by doc_id from the start; no step shuffles them again by variant, claim or question."""
+    import __spark_entry__ as entry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [part.split(",")[0].split("#")[0] for part in plan.split("hashpartitioning(")[1:]]
+    assert dealt and set(dealt) == {"doc_id"}
+
+
+def test_set_operations_of_documents_are_those_of_claims(spark):
+    def doc(tools, cves, ttps):
+        pack = lambda xs, field: [{field: x, "evidence_snippet": "s"} for x in xs]
+        return json.dumps({"indicators_of_compromise": {"tools": pack(tools, "name"), "cves": pack(cves, "value")}, "ttps": [{"mitre_id": m, "tactic": t, "technique": n} for m, t, n in ttps]})
+
+    system = [("a", 1, doc(["X", " x ", "y", None], ["cve-1"], [("t1", None, None), (None, "A", "b")])), ("b", 1, doc([], [], [])), ("a", 2, doc(["z"], [], []))]
+    gold = [(1, doc(["x", "q", None], ["CVE-1", "CVE-2"], [(None, "a", "B"), ("", "c", None)])), (3, doc(["g"], [], []))]
+    s = spark.createDataFrame(system, "variant string, doc_id long, j string").select("variant", "doc_id", schema.parse(F.col("j")).alias("doc"))
+    g = spark.createDataFrame(gold, "doc_id long, j string").select("doc_id", schema.parse(F.col("j")).alias("doc"))
+    flat = claims.flatten(s), claims.flatten(g).withColumn("variant", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    rows = lambda df: sorted((tuple(r) for r in df.select("variant", "doc_id", "kind", "type", "value").collect()), key=str)
+    assert rows(claims.intersect_documents(s, g)) == rows(claims.intersect(*flat, "variant", "doc_id")) != []
+    assert rows(claims.difference_documents(s, g)) == rows(claims.difference(*flat, "variant", "doc_id")) != []
+    assert rows(claims.union_documents(s, g, ["a", "b"])) == rows(claims.union(*flat, "variant", "doc_id")) != []
+
