@@ -460,3 +460,10 @@ def test_set_operations_of_documents_are_those_of_claims(spark):
     assert rows(claims.difference_documents(s, g)) == rows(claims.difference(*flat, "variant", "doc_id")) != []
     assert rows(claims.union_documents(s, g, ["a", "b"])) == rows(claims.union(*flat, "variant", "doc_id")) != []
 
+
+def test_outputs_are_parsed_once(spark):
+    """A filter on the violations must not make the document a second time, and text that a local stage repairs does not go to Python."""
+    raw = spark.createDataFrame([("1", '{"summary": "x"}'), ("2", "nothing"), ("3", '{"summary": "y"} {"summary": "z"}')], "doc_id string, raw_output string")
+    ok, _ = documents.split(documents.parse_outputs(raw))
+    assert ok.select("doc_id", "doc.summary")._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted(((r["doc_id"], r["strategy"]) for r in documents.parse_outputs(raw).select("doc_id", "strategy").collect())) == [("1", "direct"), ("2", None), ("3", "prefix")]
