@@ -467,3 +467,19 @@ def test_outputs_are_parsed_once(spark):
     ok, _ = documents.split(documents.parse_outputs(raw))
     assert ok.select("doc_id", "doc.summary")._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     assert sorted(((r["doc_id"], r["strategy"]) for r in documents.parse_outputs(raw).select("doc_id", "strategy").collect())) == [("1", "direct"), ("2", None), ("3", "prefix")]
+
+
+def test_python_gets_a_text_once(spark):
+    """Columns to drop stay out of Python, beside the prompt that holds the same text."""
+    rows = spark.createDataFrame([("1", "long text"), ("2", None)], "doc_id string, text string")
+    got = generate.generate(rows, F.concat(F.lit("q "), F.coalesce("text", F.lit(""))), "verify", drop=("text",))
+    assert got.columns == ["doc_id", "answer", "error"] and sorted(r["answer"] in ("Yes.", "No.") for r in got.collect()) == [True, True]
+    plan = generate.v1(rows)[0]._jdf.queryExecution().optimizedPlan().toString()
+    first = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert first and all("text#" not in line for line in first)
+
+
+def test_pages_are_read_in_slices(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"<title>t{i}</title><p>x{i}</p>" if i % 9 else None) for i in range(200)], "page_id long, html string").coalesce(1)
+    got = {r["doc_id"]: (r["title"], r["text"]) for r in reports.load_html(pages, F.col("page_id"), F.col("html")).collect()}
+    assert reports.PAGES < 200 and got["1"] == ("t1", "x1") and got["9"] == ("9", None) and got["199"] == ("t199", "x199") and len(got) == 200
