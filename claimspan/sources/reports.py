@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from ..plans import schema as S
 # The suffixes that can be read, and in which order a report is looked for.
 SUFFIXES = ("pdf", "html", "htm")
 PRIORITY = ("pdf", "html", "txt")
+#: Pages whose texts are Python strings at a time.
+PAGES = 64
 #: The names of files of JSON lines.
 PART = r"^part-[0-9]{5}-"
 
@@ -75,9 +78,14 @@ def html_report(html: str) -> tuple[str | None, str]:
     return p.title, "\n".join(p.parts.get(best, []))
 
 
-@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
-def html_text(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([html_report(x) if x is not None else (None, None) for x in pages], columns=["title", "text"])
+@F.arrow_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
+def html_text(pages: pa.Array) -> pa.Array:
+    """Title and text; pages are read from Arrow one at a time, so a batch is held once and never as Python strings."""
+    slices = []
+    for i in range(0, len(pages), PAGES):
+        read = [html_report(x.as_py()) if x.is_valid else (None, None) for x in pages.slice(i, PAGES)]
+        slices.append(pa.StructArray.from_arrays([pa.array([r[k] for r in read], pa.string()) for k in (0, 1)], names=["title", "text"]))
+    return pa.concat_arrays(slices) if slices else pa.array([], pa.struct([("title", pa.string()), ("text", pa.string())]))
 
 
 def load_html(pages: DataFrame, doc_id: Column, html: Column) -> DataFrame:
